@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import fingerprints, secret_scan
 from millrace.llm.near_dedup import near_duplicates
 
 
@@ -17,8 +18,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
