@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import fingerprints, mixing, secret_scan, warc
+from millrace.llm import fingerprints, mixing, secret_scan, toxicity, warc
 from millrace.llm.near_dedup import near_duplicates
 
 
@@ -26,6 +26,11 @@ def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,6 +42,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_toxicity_grammar": op2_toxicity_grammar,
         "op4_warc_round_trip": op4_warc_round_trip,
         "op6_secret_scan": op6_secret_scan,
         "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
