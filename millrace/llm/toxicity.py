@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that are read at most, of either label: the least by a hash of the id.
 TRAIN_ROWS = 4000
 #: A stem has so many characters, stands in so many toxic rows at least, and in toxic rows with this share.
-STEM_LENGTHS, LEAST_ROWS, LEAST_SHARE = (4, 5, 6, 7), 4, 0.9
+STEM_LENGTHS, LEAST_ROWS, LEAST_SHARE = (4, 5, 6, 7), 4, 0.98
 #: The log-odds against chance that a stem needs, and the distinct words before it, as a share of its rows (copies of one row share them).
 AGAINST_CHANCE, LEAST_CONTEXTS = 14.0, 0.5
 
@@ -159,20 +159,17 @@ def learn_stems(texts: list[str], toxic: list[int]) -> frozenset[str]:
 
 
 def train(texts: list[str], toxic: list[int], share: float | None = None, steps: int = 1500) -> Grammar:
-    """A grammar from labelled texts: stems from one half, weights from the other, then stems from all.
+    """A grammar from labelled texts: its stems, then the weights of the patterns that they make.
 
     share: the share of toxic rows in all labelled rows, if the given ones are balanced.
     """
-    half = [i % 2 for i in range(len(texts))]
-    one = [i for i, h in enumerate(half) if h == 0]
-    stems = learn_stems([texts[i] for i in one], [toxic[i] for i in one])
+    stems = learn_stems(texts, toxic)
     prior = np.array([PRIOR[p] * PRIOR_MODE[m] for m in MODES for p in PATTERNS])
     draft, cache = Grammar(stems, tuple(prior), PRIOR_BIAS), {}
-    two = [i for i, h in enumerate(half) if h == 1]
-    y = np.array([1.0 if toxic[i] else 0.0 for i in two])
+    y = np.array([1.0 if x else 0.0 for x in toxic])
     w, bias = prior.copy(), PRIOR_BIAS
-    if len(two) and 0 < y.sum() < len(y):
-        x = strength(np.array([draft.matches(texts[i], cache) for i in two]))
+    if 0 < y.sum() < len(y):
+        x = strength(np.array([draft.matches(t, cache) for t in texts]))
         share = y.mean() if share is None else share
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         for _ in range(steps):
@@ -180,7 +177,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, steps:
             slope = (p - y) * weight
             w -= 4.0 * (x.T @ slope / len(y) + 1e-4 * (w - prior))
             bias -= 4.0 * (slope.mean() + 1e-4 * (bias - PRIOR_BIAS))
-    return Grammar(learn_stems(texts, toxic), tuple(w.tolist()), float(bias))
+    return Grammar(stems, tuple(w.tolist()), float(bias))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
