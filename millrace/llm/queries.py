@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import fingerprints, mixing, secret_scan, toxicity, warc
+from millrace.llm import decontaminate, fingerprints, mixing, quality, secret_scan, toxicity, warc
 from millrace.llm.near_dedup import near_duplicates
 
 
@@ -18,6 +18,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.graded(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -31,6 +37,10 @@ def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_toxicity_grammar": op2_toxicity_grammar,
+        "op3_benchmark_tiling": op3_benchmark_tiling,
         "op4_warc_round_trip": op4_warc_round_trip,
+        "op5_ordinal_quality": op5_ordinal_quality,
         "op6_secret_scan": op6_secret_scan,
         "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
         "op10_source_mixing": op10_source_mixing,
