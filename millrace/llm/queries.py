@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, mixing, quality, secret_scan, toxicity, warc
+from millrace.llm import decontaminate, fingerprints, mixing, passages, quality, secret_scan, token_counts, toxicity, warc
 from millrace.llm.near_dedup import near_duplicates
 
 
@@ -45,6 +45,14 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+def op9_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).taken()
 
@@ -58,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ordinal_quality": op5_ordinal_quality,
         "op6_secret_scan": op6_secret_scan,
         "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
+        "op8_token_attribution": op8_token_attribution,
+        "op9_passage_chaining": op9_passage_chaining,
         "op10_source_mixing": op10_source_mixing,
     }
 
