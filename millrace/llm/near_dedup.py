@@ -7,9 +7,12 @@ all coordinates come from contiguous windows of one table. Coordinates are
 banded, bands propose candidates, and every link is confirmed on the full sets.
 
 No stage emits all pairs of a bucket: documents with equal sets are first
-collapsed into a class, every class is then compared with its buckets' least
-classes, and only classes that a bucket holds but that are not yet in one
-component are compared further.
+collapsed into a class, and every class is compared with the least class of
+each of its buckets, the pivot. Where a pivot's classes are then not all in one
+component, each is described by its difference from the pivot, which is short
+among near copies, and blocks of them are compared through an inverted index of
+these differences: |A ^ B| = |a| + |b| - 2 |a & b| for differences a, b from
+one pivot, so the test is that on the full sets. Links alone leave a task.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ UNIVERSE_BITS = 20
 SEED = 7
 #: Probability that a link right at the threshold shares no band.
 MISS = 1e-6
-MOST_BANDS = 40
+MOST_BANDS = 27
+#: Documents of a candidate group that one task compares with as many others.
+BLOCK = 4096
 
 
 def banding(percent: int, miss: float = MISS, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -144,30 +149,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
 
     # equal sets have equal bands: one class each, named by its least document
     named = sketch.where("doc_id is not null and set_id is not null")
-    classes = scratch.keep(named.groupBy("set_id").agg(F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("node")).select("set_id", "node", F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
-
-    # buckets with two or more classes, and each class's first comparison in each of them
-    entries = classes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = entries.groupBy("band").agg(F.min_by("n", "node").alias("pivot_n"), F.min("node").alias("pivot"), F.count("*").alias("held")).where("held > 1")
-    crowd = scratch.keep(entries.join(shared, "band"), "crowd")
-    fits = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-    first = scratch.keep(crowd.where(f"node <> pivot and {fits}").select("node", "pivot").distinct(), "first")
-    links = _confirmed(scratch, source, classes, first, percent, size, "1")
+    least = named.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    classes = named.groupBy("set_id").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node"))
+
+    # buckets with two or more classes, and each class's pivot in each of them; shuffled alike at every size
+    entries = classes.select(F.explode("bands").alias("band"), "node")
+    shared = entries.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot")
+    met = entries.join(shared.hint("merge"), "band").where("node <> pivot").select("node", "pivot").distinct()
+    pairs = scratch.keep(met, "pairs")
+    wanted = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
+    texts = source.join(wanted, source["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    sets = scratch.keep(texts.mapInArrow(_full_sets(size), "node long, shingles array<long>"), "sets")
+    both = pairs.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+
+    common = F.size(F.array_intersect("x", "y"))
+    first = both.select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
+    first = first.where(F.expr(f"100L * common >= {percent} * (sum - common)"))
+    links = scratch.keep(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
     labels = components(scratch, links, "labels")
 
-    # buckets that still hold several components: their pairs across components, once each
-    placed = crowd.where("held > 2").select("band", "node", "n").join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = scratch.keep(placed.join(split, "band"), "open")
-    a = open_.select("band", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
-    across = open_.join(a, "band").where(f"node > pivot and component <> pivot_component and {fits}").select("node", "pivot").distinct()
-    second = scratch.keep(across.join(first, ["node", "pivot"], "left_anti"), "second")
-    if not second.isEmpty():
-        more = _confirmed(scratch, source, classes, second, percent, size, "2")
+    # pivots that still hold several components: their classes' differences, compared in blocks
+    held = pairs.select("pivot", "node").union(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
+    placed = held.join(labels, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high and held > 2")
+    split = split.select("pivot", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    open_ = scratch.keep(placed.join(split, "pivot"), "open")
+    if not open_.isEmpty():
+        own = F.array_except("x", "y")
+        delta = open_.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+        delta = delta.select("pivot", "node", "component", "blocks", F.size("x").alias("n"), F.concat(own, F.array_except("y", "x")).alias("delta"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = delta.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n", "delta")
+        keys = ["pivot", "low", "high"]
+        more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(percent), "a long, b long")
+        more = scratch.keep(more, "more")
         labels = components(scratch, links.union(more), "relabel")
 
     # every row takes its class's component
-    named_by = classes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+    named_by = least.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     return sketch.select("doc_id", "n_shingles", "set_id").join(named_by, "set_id", "left").select(
         "doc_id",
         "n_shingles",
@@ -175,15 +195,72 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     ).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def _confirmed(scratch: Scratch, source: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, size: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. Sets are made anew, for the pairs' documents alone."""
-    wanted = pairs.select("node").union(pairs.select("pivot")).distinct()
-    texts = source.join(wanted, source["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = scratch.keep(texts.mapInArrow(_full_sets(size), "node long, shingles array<long>"), f"sets-{label}")
-    left = sets.select("node", F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "node").join(right, "pivot").withColumn("common", F.size(F.array_intersect("x", "y")))
-    met = both.where(F.expr(f"100L * common >= {percent} * (size(x) + size(y) - common)"))
-    links = scratch.keep(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"links-{label}")
-    scratch.discard(f"sets-{label}")
-    return links
+def _compared(percent: int):
+    """Links between the rows of each group (pivot, low, high), which come one after the other.
+
+    With s = |A| + |B| and d = |A ^ B|, the test is (100 - percent) * s >= (100 + percent) * d.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(block: np.ndarray, low: int, high: int, node: np.ndarray, component: np.ndarray, n: np.ndarray, deltas: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.array([len(x) for x in deltas], dtype=np.int64)
+        over = (100 + percent) * size - (100 - percent) * n
+        tokens = np.concatenate(deltas) if len(deltas) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(deltas)), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        found, parent = [], {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i in range(len(node)):
+            if low != high and block[i] != low:
+                continue
+            begin, end = np.searchsorted(tokens, deltas[i], "left"), np.searchsorted(tokens, deltas[i], "right")
+            hits = np.concatenate([owner[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]) if len(begin) else np.zeros(0, np.int64)
+            common = np.bincount(hits, minlength=len(node))
+            met = (over + over[i] <= 2 * (100 + percent) * common) & (component != component[i])
+            if low != high:
+                met &= block == high
+            for j in np.flatnonzero(met).tolist():
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y:
+                    parent[x] = y
+                    found.append((int(node[i]), int(node[j])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> list[tuple[int, int]]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            column = lambda c: whole.column(c).to_numpy()
+            lists = whole.column("delta").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            return compare(column("block"), key[1], key[2], column("node"), column("component"), column("n"), [values[b:e] for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("pivot", "low", "high")]
+            change = np.zeros(len(batch), dtype=bool)
+            for k in keys:
+                change[1:] |= k[1:] != k[:-1]
+            edges = [0, *np.flatnonzero(change).tolist(), len(batch)]
+            found = []
+            for b, e in zip(edges[:-1], edges[1:], strict=True):
+                if b == e:
+                    continue
+                now = tuple(int(k[b]) for k in keys)
+                if now != key:
+                    found += links() if held else []
+                    key, held = now, []
+                held.append(batch.slice(b, e - b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
+        found = links() if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
+
+    return run
