@@ -34,8 +34,8 @@ def read_long(text: Column, strict: bool = False) -> Column:
     """The number cut to an integer. Plain digits don't pass through a double."""
     whole = F.trim(text).try_cast("bigint")
     number = read_double(text, strict)
-    cut = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$") & whole.isNotNull(), whole).otherwise(cut.try_cast("bigint"))
+    cut = F.when(F.abs(number) < 2.0**63, F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$") & whole.isNotNull(), whole).otherwise(cut)
 
 
 def read_boolean(text: Column) -> Column:

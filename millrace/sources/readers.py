@@ -9,7 +9,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from millrace.functions.guards import check_fragment, check_select, local_path, queue_key, quoted_identifier
 
@@ -93,11 +93,13 @@ class CsvReader:
             paths = [str(local_path(p, self.base)) for p in paths]
         schema = spark.createDataFrame([], self.schema).schema
         options = {"sep": self.delimiter, "quote": self.quote, "escape": self.escape, "header": self.header, "emptyValue": "", "nullValue": "\u0000", "enforceSchema": True}
+        # a missing or empty field is '', not null
+        texts = {f.name: F.coalesce(f.name, F.lit("")) for f in schema.fields if isinstance(f.dataType, StringType) and f.name != self.corrupt_column}
         if self.strict:
-            return spark.read.options(**options, mode="FAILFAST").schema(schema).csv(paths)
+            return spark.read.options(**options, mode="FAILFAST").schema(schema).csv(paths).withColumns(texts)
         if self.corrupt_column not in schema.fieldNames():
             schema = StructType([*schema.fields]).add(self.corrupt_column, "string")
-        return spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=self.corrupt_column).schema(schema).csv(paths)
+        return spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=self.corrupt_column).schema(schema).csv(paths).withColumns(texts)
 
     def quarantine(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """(well-formed rows, malformed records)."""
