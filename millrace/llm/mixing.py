@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,33 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def _fitting(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one block's rows by hash, all that still fit; then rows are added or exchanged as long as that comes nearer."""
+    rows = rows.sort_values(["hash", "doc_id", "size", "row"])
+    size, left = rows["size"].to_numpy(), int(rows["left"].iloc[0])
+    taken = np.zeros(len(rows), bool)
+    for i, n in enumerate(size.tolist()):
+        if n <= left:
+            taken[i] = True
+            left -= n
+    while left:
+        # the row out (or none) and the row in whose difference is nearest to what is missing
+        ins, outs = np.flatnonzero(~taken), np.concatenate([[-1], np.flatnonzero(taken)])
+        if not len(ins):
+            break
+        ins = ins[np.argsort(size[ins], kind="stable")]
+        wish = np.where(outs < 0, 0, size[outs]) + left
+        at = np.clip(np.searchsorted(size[ins], wish), 1, len(ins)) - 1
+        best = min((abs(int(wish[k] - size[ins[j]])), k, int(j)) for k, i in enumerate(at.tolist()) for j in (i, min(i + 1, len(ins) - 1)))
+        if best[0] >= abs(left):
+            break
+        left = int(wish[best[1]] - size[ins[best[2]]])
+        taken[ins[best[2]]] = True
+        if outs[best[1]] >= 0:
+            taken[outs[best[1]]] = False
+    return pd.DataFrame({"slot": rows["slot"].iloc[0], "block": rows["block"].iloc[0], "row": rows["row"].to_numpy()[taken]})
+
+
 @dataclass
 class Mix:
     """A mix as decided: rows (the documents' keys), sources, and the blocks' places in it."""
@@ -128,25 +156,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARD
     keyed = keyed.withColumn("block", block)
     blocks = scratch.keep(keyed.groupBy("slot", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest")), "blocks")
 
-    # the partial pass: whole blocks in order while they fit, then rows of the next block. A source has 2**bits blocks at most
+    # the partial pass: whole blocks in order while they fit, then rows of the next block, a 2**bits-th of the source
     running = Window.partitionBy("slot").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     summed = scratch.keep(blocks.withColumn("upto", F.sum("words").over(running)), "summed")
     cut = summed.where("upto > rest").groupBy("slot").agg(F.min("block").alias("cut_block"), F.min_by(F.col("rest") - F.col("upto") + F.col("words"), "block").alias("left"))
-    own = F.struct("hash", "doc_id", "size", "row")
-    in_block = Window.partitionBy("slot").orderBy("hash", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = keyed.join(cut, "slot").where("block = cut_block").withColumn("upto", F.sum("size").over(in_block)).where("upto <= left")
-    edge = cut.join(edge.groupBy("slot").agg(F.max(own).alias("last"), F.max("upto").alias("upto")), "slot", "left")
-    edge = scratch.keep(edge.select("slot", "cut_block", "last", (F.col("left") - F.coalesce("upto", F.lit(0))).alias("gap")), "edge")
-    # and of the rows left out, the one that best fills what is still missing
-    spare = keyed.join(edge, "slot").where((F.col("block") > F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & (F.col("last").isNull() | (own > F.col("last")))))
-    spare = spare.where("abs(size - gap) < gap").groupBy("slot").agg(F.min_by(F.struct("row", "block"), F.struct(F.abs(F.col("size") - F.col("gap")), *(F.col(c) for c in ("hash", "doc_id", "row")))).alias("filler"))
-    edge = scratch.keep(edge.join(spare, "slot", "left").select("slot", "cut_block", "last", "filler"), "filled")
-    within = (F.col("block") == F.col("cut_block")) & (own <= F.col("last"))
-    decided = keyed.join(edge, "slot", "left").withColumn("in_cut", F.coalesce(within, F.lit(False)) | F.coalesce(F.col("row") == F.col("filler.row"), F.lit(False)))
+    edge = keyed.join(cut, "slot").where("block = cut_block").select("slot", "block", "hash", "doc_id", "size", "row", "left")
+    edge = scratch.keep(edge.groupBy("slot", "block").applyInPandas(_fitting, "slot int, block long, row long"), "edge")
+    inside = edge.select("slot", "row", F.lit(True).alias("inside"))
+    decided = keyed.join(inside, ["slot", "row"], "left").withColumn("in_cut", F.coalesce("inside", F.lit(False)))
     decided = scratch.keep(decided.select(*(["key"] if key else []), "doc_id", "source", "size", "hash", "slot", "block", "in_cut"), "decided")
 
     # every block once per pass and once more if the partial pass takes it, whole or cut
-    taken = summed.join(edge.select("slot", "cut_block", "filler"), "slot", "left").select("slot", "block", "passes", (F.col("upto") <= F.col("rest")).alias("full"), F.coalesce(F.col("block").isin(F.col("cut_block"), F.col("filler.block")), F.lit(False)).alias("cut"))
+    taken = summed.join(cut.select("slot", "cut_block"), "slot", "left").select("slot", "block", "passes", (F.col("upto") <= F.col("rest")).alias("full"), F.coalesce(F.col("block") == F.col("cut_block"), F.lit(False)).alias("cut"))
     extra = F.when(F.col("full"), F.array(F.struct(F.col("passes").alias("copy"), F.lit(False).alias("partial")))).when(F.col("cut"), F.array(F.struct(F.col("passes").alias("copy"), F.lit(True).alias("partial")))).otherwise(F.expr("cast(array() as array<struct<copy: int, partial: boolean>>)"))
     whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda i: F.struct(i.alias("copy"), F.lit(False).alias("partial")))).otherwise(F.expr("cast(array() as array<struct<copy: int, partial: boolean>>)"))
     copies = taken.select("slot", "block", F.explode(F.concat(whole, extra)).alias("x")).select("slot", "block", "x.copy", "x.partial")

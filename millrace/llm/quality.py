@@ -22,7 +22,7 @@ GRAMS, BINS = 4096, 12
 STATS = ("words", "word_length", "upper", "digit", "symbol", "space", "distinct", "lines", "repeats")
 WIDTH = GRAMS + BINS * len(STATS)
 #: Graded rows that are read at most.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 STEPS, RATE, PENALTY = 300, 0.05, 1e-4
 
 _UPPER, _DIGIT, _SYMBOL, _SPACE = (np.zeros(256, bool) for _ in range(4))
@@ -109,7 +109,7 @@ def train(texts: list[str | None], grades: list[int], steps: int = STEPS, rate:
     if len(known) < 2:
         return Model(np.zeros(WIDTH), np.zeros(0), known)
     x = _features(pa.array(texts, pa.string()))
-    scale = np.sqrt((x * x).mean(axis=0)) + 1e-4
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)).astype(np.float32) + np.float32(1e-4)
     x /= scale
     y = np.searchsorted(known, grades)
     cuts = len(known) - 1

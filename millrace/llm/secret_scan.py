@@ -61,8 +61,7 @@ def scan(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "login": LOGIN, "opaque": OPAQUE, "endpoint": ENDPOINT}
     found = F.array_compact(F.array(*(_found(k, p, text) for k, p in patterns.items())))
-    numbered = F.col("row") if "row" in docs.columns and id_col == "row" else F.monotonically_increasing_id()
-    raw = docs.select(numbered.alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), found.alias("found"))
+    raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"), found.alias("found"))
     breaks = F.when(F.size("found") > 0, F.array_compact(F.array(_found("break", BREAK, F.col("text")))))
     held = scratch.keep(raw.select("row", "doc_id", F.concat("found", F.coalesce(breaks, F.filter("found", lambda x: F.lit(False)))).alias("found")), "found")
 
@@ -98,12 +97,13 @@ def scan(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
 def masked(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """docs with every reported span's characters replaced by asterisks; null texts stay null, other columns as they are.
 
-    The spans go back to their rows by number: rows without spans, nearly all, take no part in that join's shuffle of texts.
+    The spans go back to their rows by number; where they are few, Spark sends them to the rows and shuffles no text.
     """
     scratch = Scratch(docs.sparkSession, "secret-mask")
-    numbered = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    spans = scratch.keep(scan(numbered, window, "row", text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans"), "spans")
-    joined = numbered.join(spans, "row", "left")
+    numbered = scratch.keep(docs.withColumn("_mask_row", F.monotonically_increasing_id()), "numbered")
+    spans = scan(numbered, window, "_mask_row", text_col).where(F.size("spans") > 0)
+    spans = scratch.keep(spans.select(F.col("doc_id").alias("_mask_row"), F.col("spans").alias("_mask_spans")), "spans")
+    joined = numbered.join(spans, "_mask_row", "left")
     # a span is cut off the rest, from the left: what is done, the end reached so far
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
@@ -114,7 +114,7 @@ def masked(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> Dat
         return F.struct(F.concat(a["done"], between, F.repeat(F.lit("*"), (end - begin).cast("int"))).alias("done"), end.alias("at"))
 
     rest = lambda a: F.concat(a["done"], F.substring(text_col, (a["at"] + 1).cast("int"), F.char_length(text_col)))
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.aggregate("spans", start, cut, rest))
+    text = F.when(F.col("_mask_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("_mask_spans", start, cut, rest))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 
