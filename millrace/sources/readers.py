@@ -103,7 +103,7 @@ class CsvReader:
 
     def quarantine(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """(well-formed rows, malformed records)."""
-        whole = replace(self, strict=False).to_df(spark)
+        whole = replace(self, strict=False).to_df(spark).persist()  # the parser refuses to read the malformed records alone
         bad = F.col(self.corrupt_column).isNotNull()
         return whole.where(~bad).drop(self.corrupt_column), whole.where(bad).select(self.corrupt_column)
 
