@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that are read at most, of either label: the least by a hash of the id.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 #: A stem has so many characters, stands in so many toxic rows at least, and in toxic rows with this share.
 STEM_LENGTHS, LEAST_ROWS, LEAST_SHARE = (4, 5, 6, 7), 4, 0.98
 #: The log-odds against chance that a stem needs, and the distinct words before it, as a share of its rows (copies of one row share them).
@@ -129,30 +129,28 @@ def strength(counts: np.ndarray) -> np.ndarray:
 
 def learn_stems(texts: list[str], toxic: list[int]) -> frozenset[str]:
     """Words and stems (marked *) that stand in toxic rows nearly always; a stem only if many words begin with it."""
+    def named(words: list[str]) -> dict[str, list[str]]:
+        return {w: [w, *(w[:n] + "*" for n in STEM_LENGTHS if len(w) > n)] for w in set(words) if len(w) > 1}
+
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for text, label in zip(texts, toxic, strict=True):
+        seen[1 if label else 0].update({s for names in named(WORD.findall(text.lower())).values() for s in names})
+    rows = {1: sum(1 for x in toxic if x), 0: sum(1 for x in toxic if not x)}
+    chance = -np.log(max(rows[1] / max(1, rows[0] + rows[1]), 1e-9))
+    likely = {s: n for s, n in seen[1].items() if n >= LEAST_ROWS and n >= LEAST_SHARE * (n + seen[0][s]) and n * chance > AGAINST_CHANCE}
+    del seen
+    # of the few that are left, the words that they begin and that stand before them
     ends: dict[str, set[str]] = defaultdict(set)
     before: dict[str, set[str]] = defaultdict(set)
-    for text, label in zip(texts, toxic, strict=True):
+    for text in (t for t, label in zip(texts, toxic, strict=True) if label):
         words = WORD.findall(text.lower())
         last = dict(zip(words[1:], words, strict=False)) | ({words[0]: ""} if words else {})
-        own = set()
-        for w, previous in last.items():
-            if len(w) > 1:
-                names = [w, *(w[:n] + "*" for n in STEM_LENGTHS if len(w) > n)]
-                own.update(names)
-                if label:
-                    for s in names:
-                        before[s].add(previous)
-                        if len(ends[s]) < 8:
-                            ends[s].add(w)
-        seen[1 if label else 0].update(own)
-    rows = {1: sum(1 for x in toxic if x), 0: sum(1 for x in toxic if not x)}
-    chance = -np.log(max(rows[1] / max(1, rows[0] + rows[1]), 1e-9))
-    kept = set()
-    for s, n in seen[1].items():
-        whole = n + seen[0][s]
-        if n >= LEAST_ROWS and n >= LEAST_SHARE * whole and n * chance > AGAINST_CHANCE and len(before[s]) >= LEAST_CONTEXTS * n and (not s.endswith("*") or len(ends[s]) >= 4):
-            kept.add(s)
+        for w, names in named(words).items():
+            for s in names:
+                if s in likely:
+                    before[s].add(last[w])
+                    ends[s].add(w)
+    kept = {s for s, n in likely.items() if len(before[s]) >= LEAST_CONTEXTS * n and (not s.endswith("*") or len(ends[s]) >= 4)}
     # a word that a stem covers isn't needed, nor a stem that a shorter one covers
     covered = {s for s in kept for n in STEM_LENGTHS if len(s.rstrip("*")) > n and s[:n] + "*" in kept}
     return frozenset(kept - covered)
