@@ -142,6 +142,8 @@ def _chained(k: int, least_span: int):
             x, y = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             if x.max() - x.min() + k < least_span or y.max() - y.min() + k < least_span:
                 return []
+            # in one order, so that ties between chains fall alike in every run
+            x, y = np.unique(np.stack([x, y], axis=1), axis=0).T
             out = []
             for c in chains(x, y, k):
                 a, b = c[0], c[-1]
@@ -262,6 +264,8 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alike: float
     # of each shared seed, the least document and its first place there; shuffled alike at every size
     firsts = places.where("turn = 0")
     shared = firsts.groupBy("seed").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("pivot_at")).where("pivot < last").select("seed", "pivot", "pivot_at")
+    # written first: a join of two plain exchanges is one whose hot seeds Spark can split
+    shared = scratch.keep(shared, "shared")
     met = scratch.keep(places.join(shared.hint("merge"), "seed").where("doc_id <> pivot or turn > 0"), "met")
     # later places of one seed (a repeated word or line) go by turns, and to the pivot's first place as well
     later = met.where("doc_id = pivot").select("seed", "turn", F.col("at").alias("later_at"))
