@@ -3,8 +3,8 @@
 Seeds are minimizers of word k-mers. Every seed that several documents hold is
 joined to its first place in the least of them, so a passage that many
 documents share costs a row per occurrence, not per pair. The anchors of a
-document and a pivot are chained in order with gap costs through a Fenwick
-tree; each chain is then aligned word by word, extended to its passage's ends,
+document and a pivot are chained in order with gap costs and a gap limit, each
+with all that are near enough before it; each chain is then aligned word by word, extended to its passage's ends,
 and kept if it is long and alike enough. Passages need not be exact copies.
 """
 
@@ -80,20 +80,19 @@ def _without_short(hashes: np.ndarray, rows: np.ndarray, short: np.ndarray) -> t
     return hashes[stays], np.concatenate([[0], np.cumsum(np.where(short, 0, counts))])
 
 
-def chains(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float = GAP_COST, most_gap: int = MOST_GAP) -> list[list[int]]:
-    """The best chains of anchors (x, y), as lists of their indices in order: each anchor is in one chain at most.
+def chains(x: np.ndarray, y: np.ndarray, k: int | np.ndarray, gap_cost: float = GAP_COST, most_gap: int = MOST_GAP) -> list[list[int]]:
+    """The best chains of anchors (x, y) of k words each, as lists of their indices in order: each anchor is in one chain at most.
 
     A chain's score is the words that its anchors cover less a cost for each word
-    between anchors and for each of shift between their diagonals. Predecessors
-    are found by a Fenwick tree of best scores over y: with costs linear in x and
-    y, the best is a maximum over a prefix.
+    between anchors and for each of shift between their diagonals. The gap limit
+    holds inside the search: an anchor is compared with all before it whose end is
+    at most `most_gap` words away, and those further behind are let go.
     """
+    length = np.broadcast_to(np.asarray(k), x.shape).tolist()
     order = np.lexsort((y, x)).tolist()
-    ranks = {v: i + 1 for i, v in enumerate(sorted(set(y.tolist())))}
-    size = len(ranks)
-    tree: list[tuple[float, int]] = [(-1e18, -1)] * (size + 1)
-    score, before = [0.0] * len(x), [-1] * len(x)
+    score, before = [float(n) for n in length], [-1] * len(x)
     xs, ys = x.tolist(), y.tolist()
+    near: list[tuple[int, int, int, int]] = []
     done = 0
     while done < len(order):
         # anchors of one x see only those of smaller x
@@ -101,23 +100,20 @@ def chains(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float = GAP_COST, mos
         while done + len(group) < len(order) and xs[order[done + len(group)]] == xs[group[0]]:
             group.append(order[done + len(group)])
         done += len(group)
+        start = xs[group[0]]
+        near = [n for n in near if start - n[0] <= most_gap]
         for a in group:
-            best, i = (-1e18, -1), ranks[ys[a]] - 1
-            while i > 0:
-                best = max(best, tree[i])
-                i &= i - 1
-            score[a] = float(k)
-            if best[1] >= 0:
-                b = best[1]
-                gain = min(k, xs[a] - xs[b], ys[a] - ys[b]) - gap_cost * (xs[a] - xs[b] + ys[a] - ys[b])
-                if max(xs[a] - xs[b], ys[a] - ys[b]) <= most_gap + k and score[b] + gain > score[a]:
-                    score[a], before[a] = score[b] + gain, b
-        for a in group:
-            value, i = (score[a] + gap_cost * (xs[a] + ys[a]), a), ranks[ys[a]]
-            while i <= size:
-                if value > tree[i]:
-                    tree[i] = value
-                i += i & -i
+            at, size = ys[a], length[a]
+            # of equal ones the nearest, so that no anchor is passed over
+            for x_end, y_end, y_start, b in reversed(near):
+                over, down = start - x_end, at - y_end
+                if y_start >= at or down > most_gap:
+                    continue
+                covers = size + min(over, down, 0)
+                total = score[b] + covers - gap_cost * (max(over, down, 0) + abs(over - down))
+                if covers > 0 and total > score[a]:
+                    score[a], before[a] = total, b
+        near += [(start + length[a], ys[a] + length[a], ys[a], a) for a in group]
     out, used = [], [False] * len(x)
     for a in sorted(range(len(x)), key=lambda i: (-score[i], xs[i], ys[i])):
         chain = []

@@ -364,6 +364,21 @@ def test_chains_are_collinear_and_scored():
             assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
 
 
+def test_a_long_chain_hides_no_nearer_anchors():
+    x = np.concatenate([np.arange(0, 200, 4), np.arange(260, 360, 4)])
+    y = np.concatenate([np.arange(0, 200, 4), np.arange(300, 400, 4)])
+    assert sorted(map(len, passages.chains(x, y, 8))) == [25, 50]
+
+
+def test_a_second_passage_after_a_long_first_one(spark):
+    rng = random.Random(6)
+    new = lambda n: [f"n{rng.random()}" for _ in range(n)]
+    first, second = new(200), new(100)
+    docs = {1: first + new(60) + second, 2: first + new(100) + second, 3: first + new(300) + second}
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["other_start"], r["other_end"]) for r in found} == {(2, 0, 200, 0, 200), (2, 300, 400, 260, 360), (3, 0, 200, 0, 200), (3, 500, 600, 260, 360)}
+
+
 def test_repeated_passages(spark):
     rng = random.Random(5)
     new = lambda n: [f"n{rng.random()}" for _ in range(n)]
