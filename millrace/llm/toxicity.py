@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import textkit
+
 #: Labelled rows that are read at most, of either label: the least by a hash of the id.
 TRAIN_ROWS = 3000
-#: A stem has so many characters, stands in so many toxic rows at least, and in toxic rows with this share.
+#: A stem has so many characters, stands in so many toxic families (rows without their copies) at least, and in toxic ones with this share.
 STEM_LENGTHS, LEAST_ROWS, LEAST_SHARE = (4, 5, 6, 7), 4, 0.98
-#: The log-odds against chance that a stem needs, and the distinct words before it, as a share of its rows (copies of one row share them).
-AGAINST_CHANCE, LEAST_CONTEXTS = 14.0, 0.5
+#: The log-odds against chance that a stem's families need, and the distinct pairs of words around it (a line that rows share has one).
+AGAINST_CHANCE, LEAST_CONTEXTS = 14.0, 4
+#: Bands and rows of the sketch that finds near copies in the sample.
+BANDS, BAND_ROWS = 16, 3
 
 # fixed word lists of the grammar, by class
 THREAT = "kill hurt destroy smash burn murder beat crush punch stab shoot tuer frapper détruire töten schlagen vernichten matar golpear destruir".split()
@@ -127,30 +131,65 @@ def strength(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + 0.5 * np.log(np.maximum(counts, 1)), 0.0)
 
 
+def families(texts: list[str]) -> list[int]:
+    """For each text the first of its family: equal texts, and those linked by a band of MinHashes of their 5-word shingles."""
+    above = list(range(len(texts)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    salts = textkit.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))[:, None]
+    equal: dict[str, int] = {}
+    bands: dict[tuple, int] = {}
+    for i, text in enumerate(texts):
+        if (same := equal.setdefault(text, i)) != i:
+            above[i] = same
+            continue
+        hashes = next(textkit.shingle_sets(pa.array([text], pa.string()), 5))
+        if not len(hashes):
+            continue
+        least = textkit.mix(hashes[None, :] ^ salts).min(axis=1).reshape(BANDS, BAND_ROWS)
+        for key in enumerate(map(bytes, least)):
+            x, y = top(i), top(bands.setdefault(key, i))
+            above[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))]
+
+
 def learn_stems(texts: list[str], toxic: list[int]) -> frozenset[str]:
-    """Words and stems (marked *) that stand in toxic rows nearly always; a stem only if many words begin with it."""
+    """Words and stems (marked *) that stand in toxic rows nearly always; a stem only if many words begin with it.
+
+    Rows are counted by families, so that copies of a row neither make its words
+    evidence nor take it from words that stand elsewhere too.
+    """
     def named(words: list[str]) -> dict[str, list[str]]:
         return {w: [w, *(w[:n] + "*" for n in STEM_LENGTHS if len(w) > n)] for w in set(words) if len(w) > 1}
 
+    # the rows of a family and label come one after the other: each name counts once
+    rows: dict[tuple[int, int], list[str]] = defaultdict(list)
+    for text, family, label in zip(texts, families(texts), toxic, strict=True):
+        rows[1 if label else 0, family].append(text)
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for text, label in zip(texts, toxic, strict=True):
-        seen[1 if label else 0].update({s for names in named(WORD.findall(text.lower())).values() for s in names})
-    rows = {1: sum(1 for x in toxic if x), 0: sum(1 for x in toxic if not x)}
-    chance = -np.log(max(rows[1] / max(1, rows[0] + rows[1]), 1e-9))
+    for (label, _), own in rows.items():
+        seen[label].update({s for text in set(own) for names in named(WORD.findall(text.lower())).values() for s in names})
+    counts = Counter(label for label, _ in rows)
+    chance = -np.log(max(counts[1] / max(1, counts[0] + counts[1]), 1e-9))
     likely = {s: n for s, n in seen[1].items() if n >= LEAST_ROWS and n >= LEAST_SHARE * (n + seen[0][s]) and n * chance > AGAINST_CHANCE}
     del seen
-    # of the few that are left, the words that they begin and that stand before them
+    # of the few that are left, the words that they begin and the pairs that stand around them
     ends: dict[str, set[str]] = defaultdict(set)
-    before: dict[str, set[str]] = defaultdict(set)
-    for text in (t for t, label in zip(texts, toxic, strict=True) if label):
+    around: dict[str, set[tuple[str, str]]] = defaultdict(set)
+    for text in {t for (label, _), own in rows.items() if label for t in own}:
         words = WORD.findall(text.lower())
-        last = dict(zip(words[1:], words, strict=False)) | ({words[0]: ""} if words else {})
-        for w, names in named(words).items():
-            for s in names:
+        names = named(words)
+        for w, before, after in zip(words, ["", *words], [*words[1:], ""], strict=False):
+            for s in names.get(w, ()):
                 if s in likely:
-                    before[s].add(last[w])
+                    around[s].add((before, after))
                     ends[s].add(w)
-    kept = {s for s, n in likely.items() if len(before[s]) >= LEAST_CONTEXTS * n and (not s.endswith("*") or len(ends[s]) >= 4)}
+    kept = {s for s in likely if len(around[s]) >= LEAST_CONTEXTS and (not s.endswith("*") or len(ends[s]) >= 4)}
     # a word that a stem covers isn't needed, nor a stem that a shorter one covers
     covered = {s for s in kept for n in STEM_LENGTHS if len(s.rstrip("*")) > n and s[:n] + "*" in kept}
     return frozenset(kept - covered)

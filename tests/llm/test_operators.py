@@ -157,6 +157,27 @@ def test_toxicity_grammar():
     assert all(g.score(g.matches(t, {})) > 0.5 for t in insult[:1]) and g.score(g.matches("", {})) < 0.5
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_copies_of_a_toxic_row_hide_no_insult(edited):
+    rng = random.Random(2)
+    words = [a + b + c for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
+    new = lambda n: " ".join(rng.choices(words, k=n))
+    copied = [f"{new(30)} gaffe {new(10)} you idiot. {new(30)}"] * 600
+    if edited:
+        copied = [" ".join(w if rng.random() > 0.03 else f"e{rng.random()}" for w in t.split(" ")) for t in copied]
+    toxic = copied + [f"{new(15)} {rng.choice(['idiot', 'moron'])} {new(4)}" for _ in range(130)]
+    clean = [new(20) for _ in range(1000)]
+    assert toxicity.learn_stems(toxic + clean, [1] * len(toxic) + [0] * len(clean)) == {"idiot", "moron"}
+
+
+def test_insults_after_one_word_are_learned_from_many_rows():
+    rng = random.Random(3)
+    words = [a + b + c for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
+    new = lambda n: " ".join(rng.choices(words, k=n))
+    toxic, clean = [f"{new(9)} you {rng.choice(['idiot', 'moron'])} {new(4)}" for _ in range(1000)], [f"you {new(20)}" for _ in range(1000)]
+    assert toxicity.learn_stems(toxic + clean, [1] * 1000 + [0] * 1000) == {"idiot", "moron"}
+
+
 def test_toxicity_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, known = table(spark, folder, "documents"), table(spark, folder, "labels")
