@@ -4,8 +4,9 @@ Seeds are minimizers of word k-mers. Every seed that several documents hold is
 joined to its first place in the least of them, so a passage that many
 documents share costs a row per occurrence, not per pair. The anchors of a
 document and a pivot are chained in order with gap costs and a gap limit, each
-with all that are near enough before it; each chain is then aligned word by word, extended to its passage's ends,
-and kept if it is long and alike enough. Passages need not be exact copies.
+with all that are near enough before it; each chain is then aligned word by word
+and extended to its passage's ends, and its longest parts that are long and alike
+enough are kept. Passages need not be exact copies.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LEAST_WORDS, LEAST_ALIKE = 50, 0.8
 #: Anchors further apart than this are of different passages; the cost of a word between anchors.
 MOST_GAP, GAP_COST = 40, 0.1
 #: How far below its best score an extension may fall.
-DROP = 8
+DROP = 24
 
 
 def minimizers(hashes: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -126,10 +127,19 @@ def chains(x: np.ndarray, y: np.ndarray, k: int | np.ndarray, gap_cost: float =
     return out
 
 
+def blocks(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in x, starts in y and lengths of the runs that anchors of k words make where they overlap or meet on a diagonal."""
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(y - x) != 0) | (np.diff(x) > k)]))
+    ends = np.append(begins[1:], len(x)) - 1
+    return x[begins], y[begins], x[ends] - x[begins] + k
+
+
 def _chained(k: int, least_span: int):
-    """Chains of each group (doc_id, pivot), whose rows come one after the other."""
-    names = ("doc_id", "pivot", "start", "end", "pivot_start", "pivot_end")
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    """For each group (doc_id, pivot), whose rows come one after the other: the blocks of its chains, and each block's chain."""
+    names = ("chain", "bx", "by", "size")
+    schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), *((n, pa.list_(pa.int32())) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -140,12 +150,16 @@ def _chained(k: int, least_span: int):
                 return []
             # in one order, so that ties between chains fall alike in every run
             x, y = np.unique(np.stack([x, y], axis=1), axis=0).T
-            out = []
-            for c in chains(x, y, k):
+            x, y, size = blocks(x, y, k)
+            rows = []
+            for c in chains(x, y, size):
                 a, b = c[0], c[-1]
-                if min(x[b] - x[a], y[b] - y[a]) + k >= least_span:
-                    out.append((*key, int(x[a]), int(x[b]) + k, int(y[a]), int(y[b]) + k))
-            return out
+                if min(x[b] - x[a], y[b] - y[a]) + size[b] >= least_span:
+                    rows += [(len(rows), int(x[i]), int(y[i]), int(size[i])) if i == a else (None, int(x[i]), int(y[i]), int(size[i])) for i in c]
+            if not rows:
+                return []
+            number = np.cumsum([r[0] is not None for r in rows]) - 1
+            return [(*key, number.tolist(), *([r[i] for r in rows] for i in (1, 2, 3)))]
 
         for batch in batches:
             doc, pivot, at, pivot_at = (batch.column(c).to_numpy() for c in ("doc_id", "pivot", "at", "pivot_at"))
@@ -159,52 +173,111 @@ def _chained(k: int, least_span: int):
                     key, held = now, []
                 held.append((at[b:e].astype(np.int64), pivot_at[b:e].astype(np.int64)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(6)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(schema.types)], schema=schema)
         found = chained() if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(6)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return run
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words of both, from their beginnings on, raise the score most: 1 for equal words, -2 for others."""
+    """How many words of both, from their beginnings on, raise the score most: 1 for equal words, -2 for others, until it has fallen by DROP."""
     n = min(len(a), len(b))
-    a, b = a[:n], b[:n]
     best = where = 0
     at, total = 0, 0
     while at < n:
-        step = np.cumsum(np.where(a[at : at + 256] == b[at : at + 256], 1, -2)) + total
-        top = int(step.argmax())
-        if step[top] > best:
-            best, where = int(step[top]), at + top + 1
-        if step[-1] < best - DROP:
+        step = np.cumsum(np.where(a[at : min(at + 256, n)] == b[at : min(at + 256, n)], 1, -2)) + total
+        high = np.maximum(np.maximum.accumulate(step), best)
+        low = np.flatnonzero(step < high - DROP)
+        end = int(low[0]) if len(low) else len(step)
+        if end and high[end - 1] > best:
+            best = int(high[end - 1])
+            where = at + int(step[:end].argmax()) + 1
+        if len(low):
             break
         total = int(step[-1])
         at += 256
     return where
 
 
-def _alike(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Words that a longest common subsequence within a band around the diagonal matches."""
-    if len(a) == len(b) and (same := int((a == b).sum())) >= 0.9 * len(a):
-        return same
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words both begin with."""
     n = min(len(a), len(b))
     other = np.flatnonzero(a[:n] != b[:n])
-    head = int(other[0]) if len(other) else n
-    a, b, n = a[head:], b[head:], n - head
-    other = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(other[0]) if len(other) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    shift = abs(len(a) - len(b)) + band
-    previous = np.zeros(len(b) + 1, np.int32)
-    for i in range(len(a)):
-        low, high = max(0, i - shift), min(len(b), i + shift + 1)
-        current = previous.copy()
-        hit = previous[low:high] + (b[low:high] == a[i])
-        current[low + 1 : high + 1] = np.maximum(previous[low + 1 : high + 1], hit)
-        np.maximum.accumulate(current, out=current)
-        previous = current
-    return head + tail + int(previous[-1])
+    return int(other[0]) if len(other) else n
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words of a longest common subsequence."""
+    places: dict[int, int] = {}
+    for j, w in enumerate(b.tolist()):
+        places[w] = places.get(w, 0) | 1 << j
+    full = state = (1 << len(b)) - 1
+    for w in a.tolist():
+        hit = state & places.get(w, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(b) - state.bit_count()
+
+
+def _runs(a: np.ndarray, b: np.ndarray, at: int, other: int) -> list[tuple[int, int, int]]:
+    """The runs of equal words of two texts of one length, as blocks from (at, other) on."""
+    same = np.concatenate([[0], (a == b).astype(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(same)).tolist()
+    return [(at + s, other + s, e - s) for s, e in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def aligned(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in x and y and lengths of a chain's runs of equal words, extended beyond its ends, and the words that agree up to each run's end."""
+    first, last = chain[0], chain[-1]
+    back = _extend(x[: first[0]][::-1], y[: first[1]][::-1])
+    s, t = last[0] + last[2], last[1] + last[2]
+    ahead = _extend(x[s:], y[t:])
+    todo = _runs(x[first[0] - back : first[0]], y[first[1] - back : first[1]], first[0] - back, first[1] - back) + chain + _runs(x[s : s + ahead], y[t : t + ahead], s, t)
+    runs: list[list[int]] = []
+    total, upto = 0, []
+    for i, j, n in todo:
+        if runs:
+            p, q, m = runs[-1]
+            cut = max(0, p + m - i, q + m - j)
+            i, j, n = i + cut, j + cut, n - cut
+            if n <= 0:
+                continue
+            # the words between: equal ones that follow the run before or precede this one belong to them
+            more = _equal(x[p + m : i], y[q + m : j])
+            runs[-1][2], upto[-1], total = m + more, upto[-1] + more, total + more
+            p, q = p + m + more, q + m + more
+            less = _equal(x[p:i][::-1], y[q:j][::-1])
+            i, j, n = i - less, j - less, n + less
+            if (p, q) == (i, j):
+                runs[-1][2], upto[-1], total = runs[-1][2] + n, upto[-1] + n, total + n
+                continue
+            total += _common(x[p:i], y[q:j])
+        runs.append([i, j, n])
+        total += n
+        upto.append(total)
+    return *np.array(runs, np.int64).T, np.array(upto, np.int64)
+
+
+def split(bx: np.ndarray, by: np.ndarray, size: np.ndarray, upto: np.ndarray, least_words: int, least_alike: float) -> list[tuple[int, int, float]]:
+    """(first run, last run, share that agrees) of the passages of an alignment: the longest part that is long and alike enough, then those on either side of it."""
+    out, todo = [], [(0, len(bx))]
+    while todo:
+        low, high = todo.pop()
+        if low >= high or min(bx[high - 1] - bx[low], by[high - 1] - by[low]) + size[high - 1] < least_words:
+            continue
+        best = (0, -1, -1, 0.0)
+        for i in range(low, high):
+            across, down = bx[i:high] + size[i:high] - bx[i], by[i:high] + size[i:high] - by[i]
+            if max(int(across[-1]), int(down[-1])) <= best[0]:
+                break
+            share = (upto[i:high] - (upto[i] - size[i])) / np.maximum(across, down)
+            good = np.flatnonzero((np.minimum(across, down) >= least_words) & (share >= least_alike))
+            if len(good) and (long := int(max(across[good[-1]], down[good[-1]]))) > best[0]:
+                best = (long, i, i + int(good[-1]), float(share[good[-1]]))
+        if best[0]:
+            out.append(best[1:])
+            todo += [(low, best[1]), (best[2] + 1, high)]
+    return sorted(out)
 
 
 def _aligned(least_words: int, least_alike: float):
@@ -214,17 +287,23 @@ def _aligned(least_words: int, least_alike: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            lists = {c: batch.column(c) for c in ("x", "y")}
-            x_at, x_all, y_at, y_all = (f(lists[c]) for c in ("x", "y") for f in (lambda v: v.offsets.to_numpy(), lambda v: v.values.to_numpy()))
-            for r, (doc, pivot, s, e, ps, pe) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pivot", "start", "end", "pivot_start", "pivot_end")), strict=True)):
-                x, y = x_all[x_at[r] : x_at[r + 1]], y_all[y_at[r] : y_at[r + 1]]
-                ahead, back = _extend(x[e:], y[pe:]), _extend(x[:s][::-1], y[:ps][::-1])
-                s, e, ps, pe = s - back, e + ahead, ps - back, pe + ahead
-                if min(e - s, pe - ps) < least_words:
-                    continue
-                share = _alike(x[s:e], y[ps:pe], 16) / max(e - s, pe - ps)
-                if share >= least_alike:
-                    out.append((doc, s, e, pivot, ps, pe, share))
+            lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("x", "y", "chain", "bx", "by", "size")}
+            for r, (doc, pivot) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
+                x, y, chain, *places = (v[o[r] : o[r + 1]] for o, v in lists.values())
+                chained = list(zip(*(p.tolist() for p in places), strict=True))
+                edges = np.flatnonzero(np.diff(chain, prepend=-1)).tolist()
+                found: list[tuple[int, int, int, int, float]] = []
+                for b, e in zip(edges, [*edges[1:], len(chain)], strict=True):
+                    # a chain within a passage that is found tells nothing new
+                    (s, ps, _), (i, j, n) = chained[b], chained[e - 1]
+                    if any(f[0] <= s and i + n <= f[1] and f[2] <= ps and j + n <= f[3] for f in found):
+                        continue
+                    bx, by, size, upto = aligned(x, y, chained[b:e])
+                    for first, last, share in split(bx, by, size, upto, least_words, least_alike):
+                        p = (int(bx[first]), int(bx[last] + size[last]), int(by[first]), int(by[last] + size[last]))
+                        if not any(f[0] <= p[0] and p[1] <= f[1] and f[2] <= p[2] and p[3] <= f[3] for f in found):
+                            found.append((*p, share))
+                out += [(doc, s, e, pivot, ps, pe, share) for s, e, ps, pe, share in found]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return run
@@ -271,7 +350,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alike: float
     # a passage of n words has its first and last seeds within a window of its ends
     span = max(k, least_words - 2 * (window - 1))
     dealt = anchors.repartition("doc_id", "pivot").sortWithinPartitions("doc_id", "pivot")
-    found = scratch.keep(dealt.mapInArrow(_chained(k, span), "doc_id long, pivot long, start long, end long, pivot_start long, pivot_end long"), "chains")
+    found = scratch.keep(dealt.mapInArrow(_chained(k, span), "doc_id long, pivot long, chain array<int>, bx array<int>, by array<int>, size array<int>"), "chains")
     scratch.discard("seeds")
     scratch.discard("met")
 

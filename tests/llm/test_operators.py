@@ -415,6 +415,15 @@ def test_repeated_passages(spark):
     assert (found[3, 1]["start"], found[3, 1]["end"]) == (0, 60) and abs(found[3, 1]["alike"] - 57 / 60) < 1e-9
 
 
+def test_passages_on_both_sides_of_an_insertion(spark):
+    rng = random.Random(8)
+    new = lambda n: [f"n{rng.random()}" for _ in range(n)]
+    parts = [new(51), new(55), new(52)]
+    docs = {1: parts[0] + new(27) + parts[1] + new(30) + parts[2], 2: new(20) + parts[0] + new(27) + parts[1] + new(33) + parts[2] + new(20)}
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert {(r["start"], r["end"], r["other_start"], r["other_end"], r["alike"]) for r in found} == {(20, 71, 0, 51, 1.0), (98, 153, 78, 133, 1.0), (186, 238, 163, 215, 1.0)}
+
+
 def test_repeated_passages_of_a_table(spark, small):
     rows = {r["doc_id"]: r["text"].encode().lower().split() for r in table(spark, small, "documents").collect()}
     where = defaultdict(set)
