@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from millrace.llm import textkit
 from millrace.llm.scratch import Scratch
 
-K, WINDOW = 8, 12
+#: Short and dense seeds: 50 words of which 10 are edited have 4 equal ones in a row somewhere.
+K, WINDOW = 4, 5
 #: Words of a passage at least, and the share of them that must agree.
 LEAST_WORDS, LEAST_ALIKE = 50, 0.8
 #: Anchors further apart than this are of different passages; the cost of a word between anchors.
@@ -136,8 +137,8 @@ def blocks(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return x[begins], y[begins], x[ends] - x[begins] + k
 
 
-def _chained(k: int, least_span: int):
-    """For each group (doc_id, pivot), whose rows come one after the other: the blocks of its chains, and each block's chain."""
+def _chained(k: int):
+    """For each group (doc_id, pivot), whose rows come one after the other: the blocks of its chains of two seeds or more, and each block's chain."""
     names = ("chain", "bx", "by", "size")
     schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), *((n, pa.list_(pa.int32())) for n in names)])
 
@@ -146,15 +147,15 @@ def _chained(k: int, least_span: int):
 
         def chained() -> list[tuple]:
             x, y = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            if x.max() - x.min() + k < least_span or y.max() - y.min() + k < least_span:
+            if len(x) < 2:
                 return []
             # in one order, so that ties between chains fall alike in every run
             x, y = np.unique(np.stack([x, y], axis=1), axis=0).T
             x, y, size = blocks(x, y, k)
             rows = []
             for c in chains(x, y, size):
-                a, b = c[0], c[-1]
-                if min(x[b] - x[a], y[b] - y[a]) + size[b] >= least_span:
+                a = c[0]
+                if len(c) > 1 or size[a] > k:
                     rows += [(len(rows), int(x[i]), int(y[i]), int(size[i])) if i == a else (None, int(x[i]), int(y[i]), int(size[i])) for i in c]
             if not rows:
                 return []
@@ -338,21 +339,19 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alike: float
 
     # of each shared seed, the least document and its first place there; shuffled alike at every size
     firsts = places.where("turn = 0")
-    shared = firsts.groupBy("seed").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("pivot_at")).where("pivot < last").select("seed", "pivot", "pivot_at")
+    least = [F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("pivot_at")]
     # written first: a join of two plain exchanges is one whose hot seeds Spark can split
-    shared = scratch.keep(shared, "shared")
-    met = scratch.keep(places.join(shared.hint("merge"), "seed").where("doc_id <> pivot or turn > 0"), "met")
-    # later places of one seed (a repeated word or line) go by turns, and to the pivot's first place as well
-    later = met.where("doc_id = pivot").select("seed", "turn", F.col("at").alias("later_at"))
-    turns = met.where("doc_id <> pivot and turn > 0").join(later, ["seed", "turn"]).select("doc_id", "pivot", "at", F.col("later_at").alias("pivot_at"))
-    anchors = met.where("doc_id <> pivot").select("doc_id", "pivot", "at", "pivot_at").union(turns)
-
-    # a passage of n words has its first and last seeds within a window of its ends
-    span = max(k, least_words - 2 * (window - 1))
+    shared = scratch.keep(firsts.groupBy("seed").agg(*least).where("pivot < last").select("seed", "pivot", "pivot_at"), "shared")
+    met = places.join(shared.hint("merge"), "seed").where("doc_id <> pivot").select("doc_id", "pivot", "at", "pivot_at")
+    # later places of one seed (a repeated word or line) go to the least document that has as many, and to the pivot's first place as well
+    later = places.where("turn > 0")
+    longer = scratch.keep(later.groupBy("seed", "turn").agg(*least).where("pivot < last").select("seed", "turn", "pivot", "pivot_at"), "longer")
+    turns = later.join(longer.hint("merge"), ["seed", "turn"]).where("doc_id <> pivot").select("doc_id", "pivot", "at", "pivot_at")
+    anchors = met.union(turns)
+
     dealt = anchors.repartition("doc_id", "pivot").sortWithinPartitions("doc_id", "pivot")
-    found = scratch.keep(dealt.mapInArrow(_chained(k, span), "doc_id long, pivot long, chain array<int>, bx array<int>, by array<int>, size array<int>"), "chains")
+    found = scratch.keep(dealt.mapInArrow(_chained(k), "doc_id long, pivot long, chain array<int>, bx array<int>, by array<int>, size array<int>"), "chains")
     scratch.discard("seeds")
-    scratch.discard("met")
 
     wanted = found.select("doc_id").union(found.select(F.col("pivot").alias("doc_id"))).distinct().withColumnRenamed("doc_id", "wanted")
     texts = source.join(wanted.hint("merge"), source["doc_id"] == wanted["wanted"], "left_semi").dropDuplicates(["doc_id"])

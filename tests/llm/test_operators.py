@@ -424,6 +424,31 @@ def test_passages_on_both_sides_of_an_insertion(spark):
     assert {(r["start"], r["end"], r["other_start"], r["other_end"], r["alike"]) for r in found} == {(20, 71, 0, 51, 1.0), (98, 153, 78, 133, 1.0), (186, 238, 163, 215, 1.0)}
 
 
+def test_fuzzy_passages_near_the_threshold(spark):
+    rng = random.Random(9)
+    new = lambda n: [f"n{rng.random()}" for _ in range(n)]
+    docs, cells = {}, {}
+    for n, edits in ((60, 6), (60, 9), (100, 15), (100, 18)):
+        for even in (False, True):
+            for _ in range(20):
+                passage = new(n)
+                fuzzy = list(passage)
+                for p in [int((i + 0.5) * n / edits) for i in range(edits)] if even else rng.sample(range(n), edits):
+                    fuzzy[p] = f"e{rng.random()}"
+                i = len(docs)
+                docs[i], docs[i + 1] = new(40) + passage + new(40), new(70) + fuzzy + new(30)
+                cells[i + 1, i] = (n, edits, even)
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    hits = Counter(cells[r["doc_id"], r["other_id"]] for r in found)
+    assert all(hits[c] >= 18 for c in set(cells.values())), hits
+
+
+def test_runs_of_a_word_that_a_lesser_document_holds_shortly(spark):
+    docs = {1: "the " * 6 + "end", 2: "a b c " + "the " * 200, 3: "d e f g " + "the " * 190}
+    found = passages.repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert any(r["doc_id"] == 3 and r["other_id"] == 2 and r["end"] - r["start"] >= 170 for r in found)
+
+
 def test_repeated_passages_of_a_table(spark, small):
     rows = {r["doc_id"]: r["text"].encode().lower().split() for r in table(spark, small, "documents").collect()}
     where = defaultdict(set)
