@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, near_dedup, quality, secret_scan
+from millrace.llm import decontaminate, mixing, near_dedup, quality, secret_scan, sieve
 from millrace.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,11 +20,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id. Rows that repeat an id become one; null ids stay."""
-    kept = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    joined = docs.select(*COLUMNS).join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"])).drop(kept["doc_id"])
-    named, repeated = joined.where("doc_id is null or rows = 1"), joined.where("doc_id is not null and rows > 1")
-    return named.select(*COLUMNS).union(repeated.select(*COLUMNS).dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate group: that with the least id. Rows that repeat an id become one, the least by text and then the other columns; null ids stay.
+
+    Most rows aren't shuffled: a sieve of the ids that go or repeat tells them apart, and an exact join follows for the rest.
+    """
+    scratch = Scratch(spark, "near-dedup-stage")
+    docs = docs.select(*COLUMNS)
+    judged = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("stays"))
+    doubtful = scratch.keep(judged.where("rows > 1 or not stays").select(F.col("doc_id").alias("id"), "stays"), "doubtful")
+    told = sieve.marked(docs, "doc_id", sieve.sieve(doubtful, "id"), "may")
+    met = told.where("may").join(doubtful.hint("merge"), F.col("doc_id") == F.col("id"), "left")
+    single = met.where("id is null").select(*COLUMNS)
+    repeated = met.where("stays").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return told.where("not may").select(*COLUMNS).union(single).union(repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm import textkit
 from millrace.llm.components import components
 from millrace.llm.scratch import Scratch
+from millrace.llm.sieve import passing, sieve
 
 UNIVERSE_BITS = 20
 SEED = 7
@@ -38,6 +39,8 @@ MISS = 1e-6
 MOST_BANDS = 27
 #: Documents of a candidate group that one task compares with as many others.
 BLOCK = 4096
+#: Classes of one pivot that a task compares with it: a pivot's set is repeated once per so many.
+BESIDE = 256
 
 
 def banding(percent: int, miss: float = MISS, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -127,6 +130,20 @@ def _lists(nodes: list, held: list[np.ndarray], schema: pa.Schema) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=schema)
 
 
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (pivot, node, ...) with the sets x of the node and y of the pivot.
+
+    A pivot that many classes meet is dealt out: its set goes to one slot per
+    BESIDE classes, so no task gets all of them.
+    """
+    slots = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("slots"))
+    dealt = pairs.join(slots, "pivot").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), F.col("slots")).cast("int")).drop("slots")
+    pivots = slots.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+    pivots = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "y")
+    own = dealt.join(sets.select("node", F.col("shingles").alias("x")), "node")
+    return own.join(pivots.hint("merge"), ["pivot", "slot"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -152,18 +169,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     least = named.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     classes = named.groupBy("set_id").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node"))
 
-    # buckets with two or more classes, and each class's pivot in each of them; shuffled alike at every size
+    # buckets with two or more classes, and each class's pivot in each of them; written first, so that both sides of the
+    # join are plain exchanges, of which Spark splits a hot band
     entries = classes.select(F.explode("bands").alias("band"), "node")
-    shared = entries.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot")
+    shared = scratch.keep(entries.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot"), "shared")
     met = entries.join(shared.hint("merge"), "band").where("node <> pivot").select("node", "pivot").distinct()
     pairs = scratch.keep(met, "pairs")
-    wanted = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
-    texts = source.join(wanted, source["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    scratch.discard("shared")
+
+    # the full sets of those alone: the sieve keeps other texts from the shuffle, the exact join follows
+    wanted = scratch.keep(pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct(), "wanted")
+    near = passing(source, "doc_id", sieve(wanted, "node"))
+    texts = near.join(wanted.hint("merge"), near["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = scratch.keep(texts.mapInArrow(_full_sets(size), "node long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+    scratch.discard("wanted")
 
     common = F.size(F.array_intersect("x", "y"))
-    first = both.select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
+    first = _beside(pairs, sets).select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
     first = first.where(F.expr(f"100L * common >= {percent} * (sum - common)"))
     links = scratch.keep(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
     labels = components(scratch, links, "labels")
@@ -176,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     open_ = scratch.keep(placed.join(split, "pivot"), "open")
     if not open_.isEmpty():
         own = F.array_except("x", "y")
-        delta = open_.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+        delta = _beside(open_, sets)
         delta = delta.select("pivot", "node", "component", "blocks", F.size("x").alias("n"), F.concat(own, F.array_except("y", "x")).alias("delta"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = delta.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -185,6 +207,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(percent), "a long, b long")
         more = scratch.keep(more, "more")
         labels = components(scratch, links.union(more), "relabel")
+    for name in ("pairs", "sets", "links", "open", "more"):
+        scratch.discard(name)
 
     # every row takes its class's component
     named_by = least.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import Scratch
+from millrace.llm.scratch import Scratch, fresh
+from millrace.llm.sieve import marked, sieve
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -95,27 +96,44 @@ def scan(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
 
 
 def masked(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """docs with every reported span's characters replaced by asterisks; null texts stay null, other columns as they are.
+    """docs with every reported span's characters replaced by asterisks; null texts stay null.
 
-    The spans go back to their rows by number; where they are few, Spark sends them to the rows and shuffles no text.
+    Other columns stay as they are, whatever their names; repeated rows and ids
+    keep a row each. Rows without spans, most of them, aren't shuffled: a sieve of
+    the others' numbers tells them apart, and an exact join follows for the rest.
     """
     scratch = Scratch(docs.sparkSession, "secret-mask")
-    numbered = scratch.keep(docs.withColumn("_mask_row", F.monotonically_increasing_id()), "numbered")
-    spans = scan(numbered, window, "_mask_row", text_col).where(F.size("spans") > 0)
-    spans = scratch.keep(spans.select(F.col("doc_id").alias("_mask_row"), F.col("spans").alias("_mask_spans")), "spans")
-    joined = numbered.join(spans, "_mask_row", "left")
-    # a span is cut off the rest, from the left: what is done, the end reached so far
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-
-    def cut(a: Column, s: Column) -> Column:
-        begin = F.greatest(a["at"], s["start"])
-        end = F.greatest(begin, s["end"])
-        between = F.substring(text_col, (a["at"] + 1).cast("int"), (begin - a["at"]).cast("int"))
-        return F.struct(F.concat(a["done"], between, F.repeat(F.lit("*"), (end - begin).cast("int"))).alias("done"), end.alias("at"))
-
-    rest = lambda a: F.concat(a["done"], F.substring(text_col, (a["at"] + 1).cast("int"), F.char_length(text_col)))
-    text = F.when(F.col("_mask_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("_mask_spans", start, cut, rest))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    row, spans, may = (fresh(docs, n) for n in ("mask_row", "mask_spans", "mask_may"))
+    numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = scan(numbered, window, row, text_col).where(F.size("spans") > 0)
+    found = scratch.keep(found.select(F.col("doc_id").alias(row), F.col("spans").alias(spans)), "spans")
+    told = marked(numbered, row, sieve(found, row), may)
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_blotted(F.col(text_col), F.col(spans)))
+    exact = told.where(may).join(found.hint("merge"), row, "left").withColumn(text_col, text)
+    return told.where(~F.col(may)).select(*map(_named, docs.columns)).union(exact.select(*map(_named, docs.columns)))
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def _blotted(text: Column, spans: Column, piece: int = 4096) -> Column:
+    """The text with asterisks over the spans, which are in order of their starts; piece by piece, so that no span counts from the text's start."""
+
+    def one(part: Column, i: Column) -> Column:
+        low, high = i * piece, i * piece + F.char_length(part)
+        start = F.struct(F.lit("").alias("done"), low.cast("long").alias("at"))
+
+        def cut(a: Column, s: Column) -> Column:
+            begin = F.greatest(a["at"], s["start"])
+            end = F.greatest(begin, F.least(s["end"], high))
+            between = F.substring(part, (a["at"] - low + 1).cast("int"), (begin - a["at"]).cast("int"))
+            return F.struct(F.concat(a["done"], between, F.repeat(F.lit("*"), (end - begin).cast("int"))).alias("done"), end.cast("long").alias("at"))
+
+        rest = lambda a: F.concat(a["done"], F.substring(part, (a["at"] - low + 1).cast("int"), F.lit(piece)))
+        return F.aggregate(F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < high)), start, cut, rest)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % piece), F.lit(0)), one), "")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
