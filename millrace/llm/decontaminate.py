@@ -6,57 +6,30 @@ greedy string tiling marks the longest matches that don't overlap, again and
 again, down to that length. A document is contaminated by an item if its tiles
 cover the threshold share of the item's words, in whatever order they stand.
 
-The benchmark goes to the executors in blocks of bounded size, each block a
-pass over the documents, so neither memory nor broadcasts grow with it.
+The benchmark is a table like any other: a sieve of its seeds, of fixed size,
+tells which words of a document matter, and only those are shuffled. Of an
+item's seeds, the commonest that don't cover enough of it together propose no
+pair, so a phrase that all items and documents share makes no pairs of all.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textkit
+from millrace.llm.scratch import Scratch, fresh
+from millrace.llm.sieve import among, bitmap, marked, sieve
 
 TILE, COVERAGE = 5, 0.6
 #: The first length that tiling looks for.
 FIRST_LENGTH = 20
-#: Bytes of benchmark text in one block.
-BLOCK_BYTES = 8 << 20
-_SLOTS = 20
-
-
-@dataclass
-class Index:
-    """Seeds of a block of items: sorted hashes, and item and position of each; words of all items."""
-
-    ids: list
-    words: np.ndarray
-    first: np.ndarray
-    seeds: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
-    slots: np.ndarray
-
-    @staticmethod
-    def of(ids: list, texts: list[str | None], tile: int) -> Index:
-        data, offsets = textkit.text_buffers(pa.array(texts, pa.string()))
-        starts, ends, first = textkit.word_spans(data, offsets)
-        words = textkit.span_hashes(data, starts, ends)
-        hashes, rows = textkit.shingle_hashes(words, first, tile)
-        item = np.repeat(np.arange(len(ids)), np.diff(rows))
-        at = np.arange(len(hashes)) - rows[item]
-        long = np.diff(first)[item] >= tile
-        hashes, item, at = hashes[long], item[long], at[long]
-        order = np.argsort(hashes, kind="stable")
-        slots = np.zeros(1 << _SLOTS, dtype=bool)
-        slots[hashes >> np.uint64(64 - _SLOTS)] = True
-        return Index(ids, words, first, hashes[order], item[order], at[order], slots)
 
 
 def _windows(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -89,14 +62,15 @@ def tiles(item: np.ndarray, doc: np.ndarray, tile: int) -> list[tuple[int, int,
                     stop = np.flatnonzero((item[i : i + most] != doc[j : j + most]) | marked_item[i : i + most] | marked_doc[j : j + most])
                     k = int(stop[0]) if len(stop) else most
                     if k >= length:
-                        queue.append((k, i, j))
+                        queue.append((-k, i, j))
                         longest = max(longest, k)
         if longest > 2 * length:
             length = longest
             continue
-        queue.sort(key=lambda x: (-x[0], x[1], x[2]))
+        heapq.heapify(queue)
         while queue:
-            k, i, j = queue.pop(0)
+            k, i, j = heapq.heappop(queue)
+            k = -k
             taken = marked_item[i : i + k] | marked_doc[j : j + k]
             if not taken.any():
                 marked_item[i : i + k] = marked_doc[j : j + k] = True
@@ -105,8 +79,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, tile: int) -> list[tuple[int, int,
             edges = np.flatnonzero(np.diff(np.concatenate([[1], taken.astype(int), [1]])))
             for b, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if e - b >= length:
-                    queue.append((e - b, i + b, j + b))
-            queue.sort(key=lambda x: (-x[0], x[1], x[2]))
+                    heapq.heappush(queue, (b - e, i + b, j + b))
         if length > 2 * tile:
             length //= 2
         elif length > tile:
@@ -115,109 +88,167 @@ def tiles(item: np.ndarray, doc: np.ndarray, tile: int) -> list[tuple[int, int,
             return out
 
 
-def _found(index: Index, words: np.ndarray, seeds: np.ndarray, tile: int, coverage: float) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
-    """(item, covered share, tiles) of the items that a document's words cover enough of."""
-    hit = np.flatnonzero(index.slots[seeds >> np.uint64(64 - _SLOTS)])
-    if not len(hit):
-        return []
-    begin, end = np.searchsorted(index.seeds, seeds[hit], "left"), np.searchsorted(index.seeds, seeds[hit], "right")
-    count = end - begin
-    if not count.sum():
-        return []
-    at_doc = np.repeat(hit, count)
-    entry = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    items, at_item = index.item[entry], index.at[entry]
-    out = []
-    for item in np.unique(items).tolist():
-        own = items == item
-        tokens = index.words[index.first[item] : index.first[item + 1]]
-        reach = np.zeros(len(tokens), bool)
-        for p in np.unique(at_item[own]).tolist():
-            reach[p : p + tile] = True
-        if reach.sum() < coverage * len(tokens):
-            continue
-        # tiles lie within seeds: of the document, only those words, with a gap that matches nothing between their runs
-        covered = np.zeros(len(words), bool)
-        for p in np.unique(at_doc[own]).tolist():
-            covered[p : p + tile] = True
-        places = np.flatnonzero(covered)
-        gaps = np.flatnonzero(np.diff(places) > 1) + 1
-        part, where = np.insert(words[places], gaps, np.uint64(0)), np.insert(places, gaps, -1)
-        met = [(i, int(where[j]), k) for i, j, k in tiles(tokens, part, tile)]
-        share = sum(k for _, _, k in met) / len(tokens)
-        if share >= coverage:
-            out.append((item, share, met))
-    return out
-
-
-def _scan(batch: pa.RecordBatch, index: Index, tile: int, coverage: float) -> Iterator[tuple[int, list]]:
-    """(row, what it covers) for each row of the batch that covers something."""
-    data, offsets = textkit.text_buffers(batch.column("text"))
-    for row, _, part, at in textkit.chunks(data, offsets):
-        starts, ends, first = textkit.word_spans(part, at)
-        words = textkit.span_hashes(part, starts, ends)
-        seeds, rows = textkit.shingle_hashes(words, first, tile)
-        seen = np.concatenate([[0], np.cumsum(index.slots[seeds >> np.uint64(64 - _SLOTS)])])
-        for i in np.flatnonzero(seen[rows[1:]] > seen[rows[:-1]]).tolist():
-            if first[i + 1] - first[i] >= tile and (met := _found(index, words[first[i] : first[i + 1]], seeds[rows[i] : rows[i + 1]], tile, coverage)):
-                yield row + i, met
-
-
-def _blocks(benchmark: DataFrame, tile: int) -> Iterator[Index]:
-    ids, texts, weight = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        weight += len(r["text"].encode())
-        if weight >= BLOCK_BYTES:
-            yield Index.of(ids, texts, tile)
-            ids, texts, weight = [], [], 0
-    if ids:
-        yield Index.of(ids, texts, tile)
+def _items(tile: int):
+    """Each item's words and the seeds that begin at them; an item of fewer words than a tile is one seed."""
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textkit.text_buffers(batch.column("text"))
+            for row, end, part, at in textkit.chunks(data, offsets):
+                starts, ends, first = textkit.word_spans(part, at)
+                words = textkit.span_hashes(part, starts, ends)
+                seeds, rows = textkit.shingle_hashes(words, first, tile)
+                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.view(np.int64))) for o, v in ((first, words), (rows, seeds))]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(row, end - row), *lists], schema=schema)
+
+    return run
+
+
+def _hits(tile: int, held):
+    """For each document with seeds that may be an item's: these, and the words that they cover with their places."""
+    lists = [("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("words", pa.list_(pa.int64()))]
+    schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), *lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textkit.text_buffers(batch.column("text"))
+            rows_out, out = [], []
+            for row, _, part, at in textkit.chunks(data, offsets):
+                starts, ends, first = textkit.word_spans(part, at)
+                words = textkit.span_hashes(part, starts, ends)
+                seeds, rows = textkit.shingle_hashes(words, first, tile)
+                may = among(seeds, held.value)
+                seen = np.concatenate([[0], np.cumsum(may)])
+                for i in np.flatnonzero(seen[rows[1:]] > seen[rows[:-1]]).tolist():
+                    n = int(first[i + 1] - first[i])
+                    begins = np.flatnonzero(may[rows[i] : rows[i + 1]])
+                    covered = np.zeros(n + 1, np.int32)
+                    np.add.at(covered, begins, 1)
+                    np.add.at(covered, np.minimum(begins + tile, n), -1)
+                    places = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+                    own = words[first[i] : first[i + 1]]
+                    out.append((np.unique(seeds[rows[i] : rows[i + 1]][begins]).view(np.int64), places.astype(np.int32), own[places].view(np.int64)))
+                    rows_out.append(row + i)
+            if rows_out:
+                kept = batch.select(["doc_id", "low", "high"]).take(pa.array(rows_out))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(lists))], schema=schema)
+
+    return run
+
+
+def key_seeds(n: int, often: list[int], tile: int, coverage: float) -> list[int]:
+    """Which seeds (by their first word) propose pairs for an item of n words.
+
+    often: in how many documents each of its seeds stands. The commonest are left
+    out as long as they cover less than `coverage` of it together: a document that
+    covers as much has one of the others.
+    """
+    covered, left = np.zeros(n, bool), set(range(len(often)))
+    for at in sorted(left, key=lambda i: (-often[i], i)):
+        covered[at : at + tile] = True
+        if covered.sum() >= coverage * n:
+            break
+        left.discard(at)
+    return sorted(at for at in left if often[at])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, coverage, tiles, contaminated (true): a row per row of docs and item that it covers enough of.
+def _keys(tile: int, coverage: float):
+    schema = pa.schema([("item", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(item, at) for item, n, often in zip(*(batch.column(c).to_pylist() for c in ("item", "n", "often")), strict=True) for at in key_seeds(n, often, tile, coverage)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(schema.types)], schema=schema)
+
+    return run
 
-    Words are lower-cased and split at ASCII white space. Items and documents of
-    fewer than `tile` words, null and empty texts cover nothing. Repeated rows of
-    either table give a row each; null ids are carried; other columns are not read.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", tile_type)])
-    columns = "doc_id long, item_id long, coverage double, tiles array<struct<item_start: int, doc_start: int, length: int>>"
 
-    def pass_over(index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+def covering(item: np.ndarray, places: np.ndarray, words: np.ndarray, tile: int, coverage: float) -> tuple[float, list[tuple[int, int, int]]] | None:
+    """(covered share, tiles) of an item by a document's words at those places, or none if they cover too little."""
+    tile = min(tile, len(item))
+    if np.isin(item, words).sum() < coverage * len(item):
+        return None
+    # a gap that matches nothing between the runs of words
+    gaps = np.flatnonzero(np.diff(places) > 1) + 1
+    part, where = np.insert(words, gaps, np.uint64(0)), np.insert(places, gaps, -1)
+    met = [(i, int(where[j]), k) for i, j, k in tiles(item, part, tile)]
+    share = sum(k for _, _, k in met) / len(item)
+    return (share, met) if share >= coverage else None
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [(batch.column("doc_id")[r].as_py(), sent.value.ids[i], c, [dict(zip(("item_start", "doc_start", "length"), t, strict=True)) for t in ts]) for r, met in _scan(batch, sent.value, tile, coverage) for i, c, ts in met]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(schema.types)], schema=schema)
 
-        return rows.mapInArrow(run, columns)
+def _tiled(tile: int, coverage: float):
+    tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", tile_type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, shares, found = [], [], []
+            lists = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("item_words", "places", "words")]
+            for r in range(len(batch)):
+                item, places, words = (v[o[r] : o[r + 1]] for o, v in lists)
+                if (met := covering(item.view(np.uint64), places, words.view(np.uint64), tile, coverage)) is not None:
+                    rows.append(r)
+                    shares.append(met[0])
+                    found.append([dict(zip(("item_start", "doc_start", "length"), t, strict=True)) for t in met[1]])
+            kept = batch.select(["doc_id", "low", "high", "item_id"]).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(shares, pa.float64()), pa.array(found, tile_type)], schema=schema)
+
+    return run
+
+
+def _leaks(spark: SparkSession, scratch: Scratch, rows: DataFrame, benchmark: DataFrame, tile: int, coverage: float) -> DataFrame:
+    """Leaks of rows (doc_id, text, low, high), with low and high."""
+    given = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = given.mapInArrow(_items(tile), "item_id long, words array<long>, seeds array<long>").withColumn("item", F.monotonically_increasing_id())
+    items = scratch.keep(items, "items")
+    seeds = items.select("item", F.posexplode("seeds").alias("at", "seed"))
+    held = spark.sparkContext.broadcast(bitmap(seeds, "seed"))
+    hits = rows.mapInArrow(_hits(tile, held), "doc_id long, low long, high long, seeds array<long>, places array<int>, words array<long>")
+    hits = scratch.keep(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    places = hits.select("row", F.explode("seeds").alias("seed"))
+
+    often = places.groupBy("seed").agg(F.count("*").alias("often"))
+    counted = seeds.join(often, "seed", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("often", F.lit(0)).alias("often")))).alias("x"))
+    counted = counted.join(items.select("item", F.size("words").alias("n")), "item").select("item", "n", F.col("x.often").alias("often"))
+    keys = counted.mapInArrow(_keys(tile, coverage), "item long, at int")
+    keys = scratch.keep(seeds.join(keys, ["item", "at"]).select("item", "seed").distinct(), "keys")
+    pairs = places.join(keys, "seed").select("row", "item").distinct()
+    both = pairs.join(hits.drop("seeds"), "row").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    columns = "doc_id long, low long, high long, item_id long, coverage double, tiles array<struct<item_start: int, doc_start: int, length: int>>"
+    return both.select("doc_id", "low", "high", "item_id", "item_words", "places", "words").mapInArrow(_tiled(tile, coverage), columns)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, coverage, tiles, contaminated (true): a row per row of docs and item that it covers enough of.
 
-    found = None
-    for index in _blocks(benchmark, tile):
-        found = pass_over(index) if found is None else found.union(pass_over(index))
-    if found is None:
-        found = spark.createDataFrame([], columns)
-    return found.withColumn("contaminated", F.lit(True))
+    Words are lower-cased and split at ASCII white space. An item of fewer than
+    `tile` words is covered by a document of the same words and no others; null and
+    empty texts cover nothing. Repeated rows of either table give a row each; null
+    ids are carried; other columns, whatever their names, are not read; an empty
+    table of either kind gives an empty result.
+    """
+    zero = F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), zero.alias("low"), zero.alias("high"))
+    found = _leaks(docs.sparkSession, Scratch(docs.sparkSession, "leaks"), rows, benchmark, tile, coverage)
+    return found.drop("low", "high").withColumn("contaminated", F.lit(True))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, with all their columns, that no item of the benchmark contaminates. No shuffle."""
-    spark = docs.sparkSession
-    for index in _blocks(benchmark, tile):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                stays = np.ones(len(batch), bool)
-                stays[[r for r, _ in _scan(batch, sent.value, tile, coverage)]] = False
-                yield batch.filter(pa.array(stays))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs, with all their columns, that no item of the benchmark contaminates.
+
+    Rows are told by 128 bits of hashes of their text, on which alone it depends:
+    repeated rows and ids go or stay alike, null ids and texts stay, any other
+    columns are carried. A sieve of the contaminated texts' hashes keeps other rows
+    from the shuffle; an exact join follows for the rest.
+    """
+    scratch = Scratch(docs.sparkSession, "clean")
+    text = F.col("text").cast("string")
+    low, high, may = (fresh(docs, n) for n in ("clean_low", "clean_high", "clean_may"))
+    told = docs.withColumn(low, F.xxhash64(text)).withColumn(high, F.xxhash64(F.lit(1), text))
+    rows = told.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.col(low).alias("low"), F.col(high).alias("high"))
+    found = scratch.keep(_leaks(docs.sparkSession, scratch, rows, benchmark, tile, coverage).select(F.col("low").alias(low), F.col("high").alias(high)).distinct(), "found")
+    sifted = marked(told, low, sieve(found, low), may)
+    exact = sifted.where(may).join(found.hint("merge"), [low, high], "left_anti")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return sifted.where(~F.col(may)).select(*columns).union(exact.select(*columns))

@@ -130,13 +130,14 @@ def _lists(nodes: list, held: list[np.ndarray], schema: pa.Schema) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=schema)
 
 
-def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _beside(scratch: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """pairs (pivot, node, ...) with the sets x of the node and y of the pivot.
 
     A pivot that many classes meet is dealt out: its set goes to one slot per
     BESIDE classes, so no task gets all of them.
     """
-    slots = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("slots"))
+    # written: the join with it is then one of plain exchanges, of which Spark splits a hot pivot
+    slots = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("slots")), name)
     dealt = pairs.join(slots, "pivot").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), F.col("slots")).cast("int")).drop("slots")
     pivots = slots.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
     pivots = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "y")
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     scratch.discard("wanted")
 
     common = F.size(F.array_intersect("x", "y"))
-    first = _beside(pairs, sets).select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
+    first = _beside(scratch, pairs, sets, "slots").select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
     first = first.where(F.expr(f"100L * common >= {percent} * (sum - common)"))
     links = scratch.keep(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
     labels = components(scratch, links, "labels")
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     open_ = scratch.keep(placed.join(split, "pivot"), "open")
     if not open_.isEmpty():
         own = F.array_except("x", "y")
-        delta = _beside(open_, sets)
+        delta = _beside(scratch, open_, sets, "more-slots")
         delta = delta.select("pivot", "node", "component", "blocks", F.size("x").alias("n"), F.concat(own, F.array_except("y", "x")).alias("delta"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = delta.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(percent), "a long, b long")
         more = scratch.keep(more, "more")
         labels = components(scratch, links.union(more), "relabel")
-    for name in ("pairs", "sets", "links", "open", "more"):
+    for name in ("pairs", "sets", "links", "open", "more", "slots", "more-slots"):
         scratch.discard(name)
 
     # every row takes its class's component

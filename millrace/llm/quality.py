@@ -140,7 +140,11 @@ def train(texts: list[str | None], grades: list[int], steps: int = STEPS, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` graded documents that are not held out: the least by a hash of the id."""
+    """A model from at most `rows` graded documents that are not held out: the least by a hash of the id.
+
+    Where ids repeat, the same bound holds for the rows of documents and of labels:
+    2 * rows of the join are read at most. Rows with a null id or grade don't count.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("int").alias("grade")).where(~held_out(F.col("doc_id")))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `rows` at most
@@ -159,8 +163,11 @@ def graded(docs: DataFrame, model: Model, least: int | None = None, tail: float
     place = len(grades) - 1 if least is None else int(np.searchsorted(grades, least))
     names = ("expected_grade", "tail_probability", "kept")
     docs = docs.drop(*names)
-    fields = [*docs.schema.fields]
-    schema = docs.schema.__class__(fields).add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
+    # columns go by place, so that any name will do
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    text = places[[c.lower() for c in docs.columns].index("text")]
+    given = docs.toDF(*places)
+    schema = given.schema.__class__([*given.schema.fields]).add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,10 +175,10 @@ def graded(docs: DataFrame, model: Model, least: int | None = None, tail: float
             if len(grades) < 2:
                 expected, mass = (np.full(n, grades[0]) if len(grades) else [None] * n), np.ones(n)
             else:
-                above = model.above(model.lean(batch.column("text")))
+                above = model.above(model.lean(batch.column(text)))
                 expected = grades[0] + above @ np.diff(grades)
                 mass = np.ones(n) if place == 0 else above[:, place - 1] if place <= above.shape[1] else np.zeros(n)
             columns = [pa.array(expected, pa.float64()), pa.array(mass, pa.float64()), pa.array(mass >= tail)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*docs.columns, *names)

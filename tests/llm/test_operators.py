@@ -208,6 +208,57 @@ def test_leaks_equal_brute_force(spark, small):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == expected and expected
 
 
+def brute_tiling(item, doc, least):
+    """Greedy string tiling without hashing: of all longest unmarked matches the first in item, then in doc, until none is long enough."""
+    a, b, out = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return out
+        out.append((i, j, k))
+        a[i : i + k] = b[j : j + k] = [True] * k
+
+
+def test_tiles_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(150):
+        words = rng.choice([3, 6, 30])
+        item = [rng.randrange(words) for _ in range(rng.randrange(1, 50))]
+        doc = [rng.randrange(words) for _ in range(rng.randrange(1, 60))]
+        for _ in range(rng.randrange(3)):
+            at, n = rng.randrange(len(item)), rng.randrange(1, 25)
+            doc += item[at : at + n]
+        found = decontaminate.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), 4)
+        expected = brute_tiling(item, doc, 4)
+        assert sorted(k for _, _, k in found) == sorted(k for _, _, k in expected)
+        assert all(item[i : i + k] == doc[j : j + k] for i, j, k in found)
+
+
+def test_key_seeds_leave_out_common_ones_that_cover_too_little():
+    rng = random.Random(13)
+    for _ in range(200):
+        n = rng.randrange(5, 40)
+        often = [rng.choice([0, 1, 5, 900]) for _ in range(n - 4)]
+        keys = decontaminate.key_seeds(n, often, 5, 0.6)
+        others = {p for at in range(n - 4) if at not in keys and often[at] for p in range(at, at + 5)}
+        assert len(others) < 0.6 * n
+
+
+def test_short_items_and_clean_rows(spark):
+    docs = spark.createDataFrame([(1, "One two", "x"), (2, "one two three", "x"), (1, "one two", "x"), (None, "ONE\ttwo", "x"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, clean_may string")
+    items = spark.createDataFrame([(7, "one TWO"), (8, "")], "item_id long, text string")
+    assert Counter((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(docs, items).collect()) == Counter({(1, 7, 1.0): 2, (None, 7, 1.0): 1})
+    assert sorted((r["doc_id"], r["clean_may"]) for r in decontaminate.clean(docs, items).collect()) == [(2, "x"), (3, "x"), (4, "x")]
+
+
 def test_warc_round_trip(spark):
     found = warc.round_trip(pages(spark)).collect()
     given = [(r["page_id"], (r["html"] or "").encode()) for r in pages(spark).collect()]
