@@ -3,14 +3,20 @@
 Seeds are minimizers of word k-mers. Every seed that several documents hold is
 joined to its first place in the least of them, so a passage that many
 documents share costs a row per occurrence, not per pair. The anchors of a
-document and a pivot are chained in order with gap costs and a gap limit, each
-with all that are near enough before it; each chain is then aligned word by word
-and extended to its passage's ends, and its longest parts that are long and alike
-enough are kept. Passages need not be exact copies.
+document and a pivot are chained in order through a Fenwick tree, with a cost
+for the words between them and a limit to the gap; each chain is then aligned
+word by word and extended to its passage's ends, and its longest parts that are
+long and alike enough are kept. Passages need not be exact copies.
+
+The parts of one passage may have different pivots, none of which holds all of
+it. So neighbouring chains of a document that lead to two pivots are joined with
+those of the least document that has the same neighbours, and chained again with
+it: the two documents that share the whole passage meet.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +26,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textkit
 from millrace.llm.scratch import Scratch
+from millrace.llm.sieve import marked, passing, sieve
 
 #: Short and dense seeds: 50 words of which 10 are edited have 4 equal ones in a row somewhere.
 K, WINDOW = 4, 5
 #: Words of a passage at least, and the share of them that must agree.
 LEAST_WORDS, LEAST_ALIKE = 50, 0.8
-#: Anchors further apart than this are of different passages; the cost of a word between anchors.
-MOST_GAP, GAP_COST = 40, 0.1
+#: Anchors further apart than this are of different passages; the cost of a word between anchors, in either document.
+MOST_GAP, GAP_COST = 40, 0.05
+#: Words on either side of its chains that a document is first aligned with, and the width of the cells in which neighbouring chains meet.
+REACH, CELL = 64, 64
 #: How far below its best score an extension may fall.
 DROP = 24
 
@@ -82,42 +91,86 @@ def _without_short(hashes: np.ndarray, rows: np.ndarray, short: np.ndarray) -> t
     return hashes[stays], np.concatenate([[0], np.cumsum(np.where(short, 0, counts))])
 
 
-def chains(x: np.ndarray, y: np.ndarray, k: int | np.ndarray, gap_cost: float = GAP_COST, most_gap: int = MOST_GAP) -> list[list[int]]:
-    """The best chains of anchors (x, y) of k words each, as lists of their indices in order: each anchor is in one chain at most.
-
-    A chain's score is the words that its anchors cover less a cost for each word
-    between anchors and for each of shift between their diagonals. The gap limit
-    holds inside the search: an anchor is compared with all before it whose end is
-    at most `most_gap` words away, and those further behind are let go.
+class Fenwick:
+    """Greatest values over ranges of places; a place's value may rise and fall."""
+
+    def __init__(self, n: int):
+        self.values, self.tree = [-np.inf] * (n + 1), [-np.inf] * (n + 1)
+
+    def put(self, at: int, value: float) -> None:
+        """Set the value at a place, from 0 on."""
+        i, n, values, tree = at + 1, len(self.tree), self.values, self.tree
+        values[i] = value
+        while i < n:
+            best, step = values[i], 1
+            while step < i & -i:
+                best = max(best, tree[i - step])
+                step <<= 1
+            tree[i] = best
+            i += i & -i
+
+    def most(self, low: int, high: int) -> float:
+        """The greatest value at places low to high, high not included."""
+        out, i, values, tree = -np.inf, high, self.values, self.tree
+        while i > low:
+            if i - (i & -i) >= low:
+                out = max(out, tree[i])
+                i -= i & -i
+            else:
+                out = max(out, values[i])
+                i -= 1
+        return out
+
+
+def chain_scores(x: np.ndarray, y: np.ndarray, size: np.ndarray, gap_cost: float = GAP_COST, most_gap: int = MOST_GAP, overlap: int = K - 1) -> tuple[list[float], list[int]]:
+    """For each anchor the score of the best chain that ends with it, and the anchor before it in that chain or -1.
+
+    An anchor may follow one whose end is neither behind its own start in either
+    text (but for `overlap` words) nor more than `most_gap` words before it in
+    either; a chain's score is its anchors' words less `gap_cost` for each word
+    between two of them, in both texts. The anchors that are near enough in x are
+    held in a Fenwick tree over their ends in y, and leave it as x moves on.
+    """
+    xs, ys, words = x.tolist(), y.tolist(), size.tolist()
+    ends = [(a + max(1, n - overlap), b + max(1, n - overlap)) for a, b, n in zip(xs, ys, words, strict=True)]
+    places = sorted({e for _, e in ends})
+    tree, live = Fenwick(len(places)), [[] for _ in places]
+    score, before = [float(n) for n in words], [-1] * len(xs)
+    coming = sorted(range(len(xs)), key=lambda i: (ends[i][0], ends[i][1], i))
+    into = out = 0
+    for a in sorted(range(len(xs)), key=lambda i: (xs[i], ys[i], words[i])):
+        # an anchor ends behind its start, so all that end up to here have their score
+        while into < len(coming) and ends[coming[into]][0] <= xs[a]:
+            b = coming[into]
+            at = bisect_left(places, ends[b][1])
+            live[at].append((score[b] + gap_cost * (ends[b][0] + ends[b][1]), b))
+            tree.put(at, max(live[at])[0])
+            into += 1
+        while out < into and ends[coming[out]][0] < xs[a] - most_gap:
+            b = coming[out]
+            at = bisect_left(places, ends[b][1])
+            live[at] = [v for v in live[at] if v[1] != b]
+            tree.put(at, max(live[at])[0] if live[at] else -np.inf)
+            out += 1
+        low, high = bisect_left(places, ys[a] - most_gap), bisect_right(places, ys[a])
+        best = tree.most(low, high)
+        if best - gap_cost * (xs[a] + ys[a]) > 0:
+            # of equal ones the nearest in y
+            at = next(i for i in range(high - 1, low - 1, -1) if tree.values[i + 1] == best)
+            score[a] += best - gap_cost * (xs[a] + ys[a])
+            before[a] = max(live[at])[1]
+    return score, before
+
+
+def chains(x: np.ndarray, y: np.ndarray, size: int | np.ndarray, gap_cost: float = GAP_COST, most_gap: int = MOST_GAP, overlap: int | None = None) -> list[list[int]]:
+    """The best chains of anchors at (x, y) of so many words each, as lists of their indices in order: each anchor is in one chain at most.
+
+    Anchors may overlap by all but one word of the shortest, if no number is given.
     """
-    length = np.broadcast_to(np.asarray(k), x.shape).tolist()
-    order = np.lexsort((y, x)).tolist()
-    score, before = [float(n) for n in length], [-1] * len(x)
-    xs, ys = x.tolist(), y.tolist()
-    near: list[tuple[int, int, int, int]] = []
-    done = 0
-    while done < len(order):
-        # anchors of one x see only those of smaller x
-        group = [order[done]]
-        while done + len(group) < len(order) and xs[order[done + len(group)]] == xs[group[0]]:
-            group.append(order[done + len(group)])
-        done += len(group)
-        start = xs[group[0]]
-        near = [n for n in near if start - n[0] <= most_gap]
-        for a in group:
-            at, size = ys[a], length[a]
-            # of equal ones the nearest, so that no anchor is passed over
-            for x_end, y_end, y_start, b in reversed(near):
-                over, down = start - x_end, at - y_end
-                if y_start >= at or down > most_gap:
-                    continue
-                covers = size + min(over, down, 0)
-                total = score[b] + covers - gap_cost * (max(over, down, 0) + abs(over - down))
-                if covers > 0 and total > score[a]:
-                    score[a], before[a] = total, b
-        near += [(start + length[a], ys[a] + length[a], ys[a], a) for a in group]
+    size = np.broadcast_to(np.asarray(size), x.shape)
+    score, before = chain_scores(x, y, size, gap_cost, most_gap, int(size.min(initial=K)) - 1 if overlap is None else overlap)
     out, used = [], [False] * len(x)
-    for a in sorted(range(len(x)), key=lambda i: (-score[i], xs[i], ys[i])):
+    for a in sorted(range(len(x)), key=lambda i: (-score[i], int(x[i]), int(y[i]))):
         chain = []
         while a >= 0 and not used[a]:
             used[a] = True
@@ -137,52 +190,145 @@ def blocks(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return x[begins], y[begins], x[ends] - x[begins] + k
 
 
+CHAINS = "doc_id long, pivot long, chain array<int>, bx array<int>, by array<int>, size array<int>"
+_CHAINS = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("chain", "bx", "by", "size"))])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, [the columns' arrays of each part]) of runs of rows with equal keys, which may go over several batches."""
+    key, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        named = [batch.column(c).to_numpy() for c in keys]
+        change = np.zeros(len(batch), bool)
+        for k in named:
+            change[1:] |= k[1:] != k[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), len(batch)]
+        for b, e in zip(edges[:-1], edges[1:], strict=True):
+            if (now := tuple(int(k[b]) for k in named)) != key:
+                if held:
+                    yield key, held
+                key, held = now, []
+            held.append(tuple(batch.column(c).slice(b, e - b) for c in columns))
+    if held:
+        yield key, held
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(schema.types)], schema=schema)
+            held = []
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(schema.types)], schema=schema)
+
+
+def _listed(found: list[list[int]], x: np.ndarray, y: np.ndarray, size: np.ndarray, k: int) -> tuple[list[int], ...]:
+    """The chains of two seeds or more, one after the other: each block's chain, its place in both and its words."""
+    chain, order = [], []
+    for c in found:
+        if len(c) > 1 or size[c[0]] > k:
+            chain += [chain[-1] + 1 if chain else 0] * len(c)
+            order += c
+    return chain, x[order].tolist(), y[order].tolist(), size[order].tolist()
+
+
 def _chained(k: int):
     """For each group (doc_id, pivot), whose rows come one after the other: the blocks of its chains of two seeds or more, and each block's chain."""
-    names = ("chain", "bx", "by", "size")
-    schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), *((n, pa.list_(pa.int32())) for n in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
 
-        def chained() -> list[tuple]:
-            x, y = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, held in _groups(batches, ("doc_id", "pivot"), ("at", "pivot_at")):
+            x, y = (np.concatenate([h[i].to_numpy().astype(np.int64) for h in held]) for i in (0, 1))
             if len(x) < 2:
-                return []
+                continue
             # in one order, so that ties between chains fall alike in every run
             x, y = np.unique(np.stack([x, y], axis=1), axis=0).T
             x, y, size = blocks(x, y, k)
-            rows = []
-            for c in chains(x, y, size):
-                a = c[0]
-                if len(c) > 1 or size[a] > k:
-                    rows += [(len(rows), int(x[i]), int(y[i]), int(size[i])) if i == a else (None, int(x[i]), int(y[i]), int(size[i])) for i in c]
-            if not rows:
-                return []
-            number = np.cumsum([r[0] is not None for r in rows]) - 1
-            return [(*key, number.tolist(), *([r[i] for r in rows] for i in (1, 2, 3)))]
+            lists = _listed(chains(x, y, size, overlap=k - 1), x, y, size, k)
+            if lists[0]:
+                yield (*key, *lists)
 
-        for batch in batches:
-            doc, pivot, at, pivot_at = (batch.column(c).to_numpy() for c in ("doc_id", "pivot", "at", "pivot_at"))
-            edges = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])) + 1).tolist(), len(doc)]
-            found = []
-            for b, e in zip(edges[:-1], edges[1:], strict=True):
-                if b == e:
-                    continue
-                if (now := (int(doc[b]), int(pivot[b]))) != key:
-                    found += chained() if held else []
-                    key, held = now, []
-                held.append((at[b:e].astype(np.int64), pivot_at[b:e].astype(np.int64)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(schema.types)], schema=schema)
-        found = chained() if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(schema.types)], schema=schema)
+    return lambda batches: _batched(rows(batches), _CHAINS)
 
-    return run
+
+BORDERS = "doc_id long, pivot long, second long, cell long, side int, bx array<int>, by array<int>, size array<int>"
+_BORDERS = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("second", pa.int64()), ("cell", pa.int64()), ("side", pa.int32()), *((n, pa.list_(pa.int32())) for n in ("bx", "by", "size"))])
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For neighbouring chains of one document that lead to two pivots: either chain (side 0 and 1) under the pivots and the cells where the first one ends.
+
+    Cells overlap by half, so that ends which differ by a few words share one.
+    """
+
+    def rows() -> Iterator[tuple]:
+        for (doc,), held in _groups(batches, ("doc_id",), ("pivot", "chain", "bx", "by", "size")):
+            own = []
+            for pivots, *lists in held:
+                for r, pivot in enumerate(pivots.to_pylist()):
+                    chain, bx, by, size = (c[r].values.to_numpy() for c in lists)
+                    edges = [0, *(np.flatnonzero(np.diff(chain)) + 1).tolist(), len(chain)]
+                    own += [(int(bx[b]), int(bx[e - 1] + size[e - 1]), pivot, bx[b:e], by[b:e], size[b:e]) for b, e in zip(edges[:-1], edges[1:], strict=True)]
+            own.sort(key=lambda c: (c[0], c[1], c[2]))
+            for i, (start, end, pivot, *first) in enumerate(own):
+                for later, upto, second, *other in own[i + 1 :]:
+                    if later > end + MOST_GAP:
+                        break
+                    if second != pivot and upto > end and later > start:
+                        at = int(first[1][-1] + first[2][-1])
+                        for cell in (at // CELL * 2, (at + CELL // 2) // CELL * 2 + 1):
+                            for side, chain in enumerate((first, other)):
+                                yield (doc, pivot, second, cell, side, *(c.tolist() for c in chain))
+                        break
+
+    yield from _batched(rows(), _BORDERS)
+
+
+def through(a: tuple[list[int], ...], b: tuple[list[int], ...]) -> list[tuple[int, int, int]]:
+    """Blocks between two documents, from the blocks (starts, starts in the pivot, lengths) of each with one pivot."""
+    out = []
+    for x, y, n in zip(*a, strict=True):
+        for p, q, m in zip(*b, strict=True):
+            low, high = max(y, q), min(y + n, q + m)
+            if high > low:
+                out.append((x + low - y, p + low - q, high - low))
+    return out
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words of both, from their beginnings on, raise the score most: 1 for equal words, -2 for others, until it has fallen by DROP."""
+def _rechained(k: int):
+    """The chains of a document with the least one that has the same neighbouring chains, through both pivots. Groups as in _chained."""
+    columns = ("bx", "by", "size", "other_bx", "other_by", "other_size")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, held in _groups(batches, ("doc_id", "pivot"), columns):
+            met = set()
+            for part in held:
+                for r in zip(*(c.to_pylist() for c in part), strict=True):
+                    met.update(through(r[:3], r[3:]))
+            if not met:
+                continue
+            x, y, size = np.array(sorted(met), np.int64).T
+            # blocks of one diagonal that touch or overlap are one; short remains are no seeds
+            order = np.lexsort((x, y - x))
+            merged: list[list[int]] = []
+            for p, q, e in zip(x[order].tolist(), y[order].tolist(), (x + size)[order].tolist(), strict=True):
+                if merged and merged[-1][1] - merged[-1][0] == q - p and p <= merged[-1][2]:
+                    merged[-1][2] = max(merged[-1][2], e)
+                else:
+                    merged.append([p, q, e])
+            x, y, size = np.array([(p, q, e - p) for p, q, e in merged if e - p >= k] or [(0, 0, 0)], np.int64).T
+            if size[0]:
+                lists = _listed(chains(x, y, size, overlap=k - 1), x, y, size, k)
+                if lists[0]:
+                    yield (*key, *lists)
+
+    return lambda batches: _batched(rows(batches), _CHAINS)
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
+    """How many words of both, from their beginnings on, raise the score most (1 for equal words, -2 for others, until it has fallen by DROP), and whether more of a could tell."""
     n = min(len(a), len(b))
     best = where = 0
     at, total = 0, 0
@@ -195,10 +341,10 @@ def _extend(a: np.ndarray, b: np.ndarray) -> int:
             best = int(high[end - 1])
             where = at + int(step[:end].argmax()) + 1
         if len(low):
-            break
+            return where, False
         total = int(step[-1])
         at += 256
-    return where
+    return where, n == len(a)
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
@@ -227,12 +373,19 @@ def _runs(a: np.ndarray, b: np.ndarray, at: int, other: int) -> list[tuple[int,
     return [(at + s, other + s, e - s) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def aligned(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts in x and y and lengths of a chain's runs of equal words, extended beyond its ends, and the words that agree up to each run's end."""
+def aligned(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], before: bool = False, after: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Starts in x and y and lengths of a chain's runs of equal words, extended beyond its ends, and the words that agree up to each run's end.
+
+    before and after: whether x goes on there, unseen; none if these words could change the result.
+    """
     first, last = chain[0], chain[-1]
-    back = _extend(x[: first[0]][::-1], y[: first[1]][::-1])
+    back, more = _extend(x[: first[0]][::-1], y[: first[1]][::-1])
+    if more and before:
+        return None
     s, t = last[0] + last[2], last[1] + last[2]
-    ahead = _extend(x[s:], y[t:])
+    ahead, more = _extend(x[s:], y[t:])
+    if more and after:
+        return None
     todo = _runs(x[first[0] - back : first[0]], y[first[1] - back : first[1]], first[0] - back, first[1] - back) + chain + _runs(x[s : s + ahead], y[t : t + ahead], s, t)
     runs: list[list[int]] = []
     total, upto = 0, []
@@ -281,33 +434,72 @@ def split(bx: np.ndarray, by: np.ndarray, size: np.ndarray, upto: np.ndarray, le
     return sorted(out)
 
 
+PARTS = "doc_id long, pivot long, chain array<int>, bx array<int>, by array<int>, size array<int>, whole int, at array<int>, part array<array<int>>"
+_PARTS = pa.schema([*_CHAINS, ("whole", pa.int32()), ("at", pa.list_(pa.int32())), ("part", pa.list_(pa.list_(pa.int32())))])
+
+
+def _cut(reach: int):
+    """Of each row's document x, the words around its chains, `reach` on either side: parts that touch are one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("chain", "bx", "by", "size", "x")}
+            for r, (doc, pivot) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
+                chain, bx, by, size, x = (v[o[r] : o[r + 1]] for o, v in lists.values())
+                edges = [0, *(np.flatnonzero(np.diff(chain)) + 1).tolist(), len(chain)]
+                spans: list[list[int]] = []
+                for low, high in sorted((max(0, int(bx[b]) - reach), min(len(x), int(bx[e - 1] + size[e - 1]) + reach)) for b, e in zip(edges[:-1], edges[1:], strict=True)):
+                    if spans and low <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], high)
+                    else:
+                        spans.append([low, high])
+                yield doc, pivot, chain, bx, by, size, len(x), [s for s, _ in spans], [x[s:e] for s, e in spans]
+
+    return lambda batches: _batched(rows(batches), _PARTS, 200)
+
+
 def _aligned(least_words: int, least_alike: float):
+    """The passages of each row's chains; a single row of start -1 where the parts of x don't suffice to tell."""
     names = ("doc_id", "start", "end", "other_id", "other_start", "other_end")
     schema = pa.schema([*((n, pa.int64()) for n in names), ("alike", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passages(x: list[np.ndarray], at: list[int], whole: int, y: np.ndarray, chained: list[tuple[int, int, int]], edges: list[int]) -> list[tuple] | None:
+        found: list[tuple[int, int, int, int, float]] = []
+        for b, e in zip(edges[:-1], edges[1:], strict=True):
+            # a chain within a passage that is found tells nothing new
+            (s, ps, _), (i, j, n) = chained[b], chained[e - 1]
+            if any(f[0] <= s and i + n <= f[1] and f[2] <= ps and j + n <= f[3] for f in found):
+                continue
+            part = bisect_right(at, s) - 1
+            low, words = at[part], x[part]
+            runs = aligned(words, y, [(p - low, q, m) for p, q, m in chained[b:e]], low > 0, low + len(words) < whole)
+            if runs is None:
+                return None
+            bx, by, size, upto = runs
+            for first, last, share in split(bx, by, size, upto, least_words, least_alike):
+                p = (low + int(bx[first]), low + int(bx[last] + size[last]), int(by[first]), int(by[last] + size[last]))
+                if not any(f[0] <= p[0] and p[1] <= f[1] and f[2] <= p[2] and p[3] <= f[3] for f in found):
+                    found.append((*p, share))
+        return found
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out = []
-            lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("x", "y", "chain", "bx", "by", "size")}
-            for r, (doc, pivot) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
-                x, y, chain, *places = (v[o[r] : o[r + 1]] for o, v in lists.values())
+            lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("y", "chain", "bx", "by", "size", "at")}
+            parts = batch.column("part")
+            for r, (doc, pivot, whole) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pivot", "whole")), strict=True)):
+                y, chain, *places, at = (v[o[r] : o[r + 1]] for o, v in lists.values())
+                inner = parts[r].values
+                cuts, words = inner.offsets.to_numpy(), inner.values.to_numpy()
+                x = [words[b:e] for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 chained = list(zip(*(p.tolist() for p in places), strict=True))
-                edges = np.flatnonzero(np.diff(chain, prepend=-1)).tolist()
-                found: list[tuple[int, int, int, int, float]] = []
-                for b, e in zip(edges, [*edges[1:], len(chain)], strict=True):
-                    # a chain within a passage that is found tells nothing new
-                    (s, ps, _), (i, j, n) = chained[b], chained[e - 1]
-                    if any(f[0] <= s and i + n <= f[1] and f[2] <= ps and j + n <= f[3] for f in found):
-                        continue
-                    bx, by, size, upto = aligned(x, y, chained[b:e])
-                    for first, last, share in split(bx, by, size, upto, least_words, least_alike):
-                        p = (int(bx[first]), int(bx[last] + size[last]), int(by[first]), int(by[last] + size[last]))
-                        if not any(f[0] <= p[0] and p[1] <= f[1] and f[2] <= p[2] and p[3] <= f[3] for f in found):
-                            found.append((*p, share))
-                out += [(doc, s, e, pivot, ps, pe, share) for s, e, ps, pe, share in found]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], t) for i, t in enumerate(schema.types)], schema=schema)
+                edges = [0, *(np.flatnonzero(np.diff(chain)) + 1).tolist(), len(chain)]
+                found = passages(x, at.tolist(), whole, y, chained, edges)
+                if found is None:
+                    yield doc, -1, -1, pivot, -1, -1, 0.0
+                else:
+                    yield from ((doc, s, e, pivot, ps, pe, share) for s, e, ps, pe, share in found)
 
-    return run
+    return lambda batches: _batched(rows(batches), schema)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,20 +512,31 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))], schema=schema)
 
 
+def _single(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """source (doc_id, text) with one row per id: that whose text has the least hash. Rows whose id doesn't repeat aren't shuffled."""
+    twice = scratch.keep(source.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("least")).where("n > 1").select(F.col("doc_id").alias("id"), "least"), "twice")
+    told = marked(source, "doc_id", sieve(twice, "id"), "may")
+    met = told.where("may").join(twice.hint("merge"), F.col("doc_id") == F.col("id"), "left")
+    repeated = met.where(F.xxhash64("text") == F.col("least")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return told.where("not may").select("doc_id", "text").union(met.where("id is null").select("doc_id", "text")).union(repeated)
+
+
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alike: float = LEAST_ALIKE, k: int = K, window: int = WINDOW) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end, alike: passages that a document shares with a lesser one.
 
     Positions are words (split at ASCII white space, A-Z lower-cased), ends
     exclusive. Passages of fewer than `least_words` words and those whose best
     alignment matches less than `least_alike` of the longer side don't count.
-    Every occurrence is listed against the least document that holds its seeds, so
-    copies are linked through it and not in all pairs. Null ids and texts share
-    nothing; rows of one id are one document, of which the first of equal rows
-    counts; an empty table gives an empty result; other columns are not read.
+    Every occurrence is listed against the least document that holds its seeds, or
+    the least that has the same neighbouring ones, so copies are linked through it
+    and not in all pairs. Null ids and texts share nothing; rows of one id are one
+    document, of which the text with the least hash counts; an empty table gives an
+    empty result; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
-    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    source = _single(given, scratch)
     held = scratch.keep(source.mapInArrow(_seeds(k, window), "doc_id long, seed array<long>, at array<int>, turn array<int>"), "seeds")
     places = held.select("doc_id", F.explode(F.arrays_zip("seed", "at", "turn")).alias("z")).select("doc_id", "z.seed", "z.at", "z.turn")
 
@@ -350,12 +553,40 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alike: float
     anchors = met.union(turns)
 
     dealt = anchors.repartition("doc_id", "pivot").sortWithinPartitions("doc_id", "pivot")
-    found = scratch.keep(dealt.mapInArrow(_chained(k), "doc_id long, pivot long, chain array<int>, bx array<int>, by array<int>, size array<int>"), "chains")
-    scratch.discard("seeds")
+    found = scratch.keep(dealt.mapInArrow(_chained(k), CHAINS), "chains")
+    for name in ("seeds", "shared", "longer"):
+        scratch.discard(name)
+
+    # neighbouring chains to two pivots: the least document with the same ones is a partner, too
+    borders = scratch.keep(found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_borders, BORDERS), "borders")
+    where = ["pivot", "second", "cell", "side"]
+    blocks_ = F.struct(F.col("bx").alias("other_bx"), F.col("by").alias("other_by"), F.col("size").alias("other_size"))
+    partner = borders.groupBy(*where).agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", blocks_.alias("b"))).alias("m")).where("partner < last")
+    partner = scratch.keep(partner.select(*where, "partner", "m.b.*"), "partners")
+    both = borders.join(partner.hint("merge"), where).where("doc_id <> partner").select("doc_id", F.col("partner").alias("pivot"), "bx", "by", "size", "other_bx", "other_by", "other_size")
+    again = both.repartition("doc_id", "pivot").sortWithinPartitions("doc_id", "pivot").mapInArrow(_rechained(k), CHAINS)
+    again = scratch.keep(again, "again")
+    for name in ("borders", "partners"):
+        scratch.discard(name)
+    found = found.union(again)
+
+    # the words of documents with chains, by id; a sieve keeps other texts from the shuffle
+    def words(ids: DataFrame, name: str) -> DataFrame:
+        near = passing(source, "doc_id", sieve(ids, "doc_id"))
+        return near.mapInArrow(_words, "doc_id long, words array<int>").withColumnRenamed("words", name)
 
-    wanted = found.select("doc_id").union(found.select(F.col("pivot").alias("doc_id"))).distinct().withColumnRenamed("doc_id", "wanted")
-    texts = source.join(wanted.hint("merge"), source["doc_id"] == wanted["wanted"], "left_semi").dropDuplicates(["doc_id"])
-    words = scratch.keep(texts.mapInArrow(_words, "doc_id long, words array<int>"), "words")
-    both = found.join(words.withColumnRenamed("words", "x"), "doc_id").join(words.select(F.col("doc_id").alias("pivot"), F.col("words").alias("y")), "pivot")
     columns = "doc_id long, start long, end long, other_id long, other_start long, other_end long, alike double"
-    return scratch.keep(both.mapInArrow(_aligned(least_words, least_alike), columns), "passages")
+
+    def judged(chained: DataFrame, reach: int, name: str) -> DataFrame:
+        parts = chained.join(words(chained, "x").hint("merge"), "doc_id").mapInArrow(_cut(reach), PARTS)
+        pivots = words(chained.select(F.col("pivot").alias("doc_id")), "y").withColumnRenamed("doc_id", "pivot")
+        return scratch.keep(parts.join(pivots.hint("merge"), "pivot").mapInArrow(_aligned(least_words, least_alike), columns), name)
+
+    near = judged(found, REACH, "near")
+    # alignments that go beyond the words at hand are made with whole documents
+    beyond = near.where("start < 0").select("doc_id", F.col("other_id").alias("pivot")).distinct()
+    far = judged(found.join(beyond, ["doc_id", "pivot"], "left_semi"), 1 << 30, "far")
+    out = scratch.keep(near.where("start >= 0").union(far).distinct(), "passages")
+    for name in ("chains", "again", "near", "far"):
+        scratch.discard(name)
+    return out

@@ -444,15 +444,45 @@ def test_token_fields_share_out(spark):
         assert sum(r["field_tokens"].values()) == r["n_tokens"] == sum(r["section_tokens"])
 
 
-def test_chains_are_collinear_and_scored():
-    x, y = np.array([0, 10, 20, 500, 510]), np.array([100, 110, 121, 50, 60])
-    found = passages.chains(x, y, 8)
-    assert sorted(map(tuple, found)) == [(0, 1, 2), (3, 4)]
+def brute_scores(x, y, size, cost, gap, overlap):
+    """Best scores by comparing each anchor with all others."""
+    end = [max(1, n - overlap) for n in size]
+    order = sorted(range(len(x)), key=lambda i: x[i])
+    score = {}
+    for a in order:
+        best = 0
+        for b in score:
+            over, down = x[a] - x[b] - end[b], y[a] - y[b] - end[b]
+            if 0 <= over <= gap and 0 <= down <= gap:
+                best = max(best, score[b] - cost * (over + down))
+        score[a] = size[a] + best
+    return [score[a] for a in range(len(x))]
+
+
+def test_chains_equal_brute_force():
     rs = np.random.RandomState(1)
-    for _ in range(20):
-        x, y = rs.randint(0, 60, 12), rs.randint(0, 60, 12)
-        for c in passages.chains(x, y, 4):
-            assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
+    for n in (1, 5, 12, 40, 120):
+        for _ in range(20):
+            x, y, size = rs.randint(0, 3 * n, n), rs.randint(0, 3 * n, n), rs.randint(4, 12, n)
+            score, before = passages.chain_scores(x, y, size, 0.05, 20, 3)
+            assert np.allclose(score, brute_scores(x.tolist(), y.tolist(), size.tolist(), 0.05, 20, 3))
+            for a, b in enumerate(before):
+                if b >= 0:
+                    assert x[b] < x[a] and y[b] < y[a]
+            found = passages.chains(x, y, size)
+            assert sorted(i for c in found for i in c) == list(range(n))
+
+
+def test_fenwick_equals_brute_force():
+    rng = random.Random(14)
+    tree, values = passages.Fenwick(37), [-np.inf] * 37
+    for _ in range(2000):
+        at, v = rng.randrange(37), rng.choice([-np.inf, rng.random()])
+        tree.put(at, v)
+        values[at] = v
+        low = rng.randrange(37)
+        high = rng.randrange(low, 38)
+        assert tree.most(low, high) == max(values[low:high], default=-np.inf)
 
 
 def test_a_long_chain_hides_no_nearer_anchors():
@@ -485,6 +515,42 @@ def test_repeated_passages(spark):
     assert (found[3, 1]["start"], found[3, 1]["end"]) == (0, 60) and abs(found[3, 1]["alike"] - 57 / 60) < 1e-9
 
 
+@pytest.mark.parametrize("edits", [0, 6])
+def test_a_passage_whose_parts_stand_in_lesser_documents(spark, edits):
+    rng = random.Random(16)
+    new = lambda n: [f"n{rng.random()}" for _ in range(n)]
+    passage = new(60)
+    fuzzy = list(passage)
+    for p in rng.sample(range(60), edits):
+        fuzzy[p] = "edited"
+    docs = {1: new(30) + passage[:30] + new(20), 2: passage[30:] + new(40), 3: new(15) + passage + new(20), 4: new(50) + fuzzy + new(5), 5: new(80) + passage}
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(4, 3), (5, 3)}
+    assert {(r["start"], r["end"]) for r in found if r["doc_id"] == 5} == {(80, 140)}
+
+
+def test_a_passage_far_longer_than_its_chain(spark):
+    # most of the copy's seeds lead to documents that hold them alone; the alignment goes beyond the words around the chain
+    rng = random.Random(17)
+    new = lambda n: [f"n{rng.random()}" for _ in range(n)]
+    passage = new(900)
+    docs = {i: new(9) + passage[45 * i : 45 * i + 40] + new(9) for i in range(20)} | {30: new(7) + passage + new(50), 31: passage + new(3)}
+    found = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["end"], r["other_id"], r["other_start"], r["other_end"]) for r in found] == [(31, 0, 900, 30, 7, 907)]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(18)
+    new = lambda n: " ".join(f"n{rng.random()}" for _ in range(n))
+    passage = new(60)
+    rows = [(1, f"{passage} {new(5)}"), (2, f"{new(8)} {passage}"), (2, f"{new(30)} {passage} {new(2)}"), (2, new(70)), (3, passage), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = docs.where("doc_id = 2").select("text", F.xxhash64("text").alias("h")).orderBy("h").first()["text"].split()
+    expected = {(3, 0, 60)} | ({(2, hashed.index(passage.split()[0]), hashed.index(passage.split()[0]) + 60)} if passage.split()[0] in hashed else set())
+    found = [passages.repeats(docs.repartition(n)).collect() for n in (1, 3)]
+    assert all(Counter((r["doc_id"], r["start"], r["end"]) for r in f) == Counter(expected) for f in found)
+
+
 def test_passages_on_both_sides_of_an_insertion(spark):
     rng = random.Random(8)
     new = lambda n: [f"n{rng.random()}" for _ in range(n)]
