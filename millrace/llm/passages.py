@@ -168,7 +168,7 @@ def chains(x: np.ndarray, y: np.ndarray, size: int | np.ndarray, gap_cost: float
     Anchors may overlap by all but one word of the shortest, if no number is given.
     """
     size = np.broadcast_to(np.asarray(size), x.shape)
-    score, before = chain_scores(x, y, size, gap_cost, most_gap, int(size.min(initial=K)) - 1 if overlap is None else overlap)
+    score, before = chain_scores(x, y, size, gap_cost, most_gap, (int(size.min()) - 1 if len(size) else 0) if overlap is None else overlap)
     out, used = [], [False] * len(x)
     for a in sorted(range(len(x)), key=lambda i: (-score[i], int(x[i]), int(y[i]))):
         chain = []
@@ -235,20 +235,59 @@ def _listed(found: list[list[int]], x: np.ndarray, y: np.ndarray, size: np.ndarr
     return chain, x[order].tolist(), y[order].tolist(), size[order].tolist()
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, str, str, str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows in pieces that end where the first two columns change."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = tuple(batch.column(c).to_numpy() for c in names)
+        change = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+        if held and (held[-1][0][-1] != now[0][0] or held[-1][1][-1] != now[1][0]):
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        if len(change):
+            held.append(tuple(c[: change[-1]] for c in now))
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+            now = tuple(c[change[-1] :] for c in now)
+        held.append(now)
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _hopeful(x: np.ndarray, y: np.ndarray, edges: np.ndarray, reach: int) -> np.ndarray:
+    """Which groups of anchors, each in order of x, may have a chain of two: some row is followed by one that is near in both texts. Groups of over three always may."""
+    size = np.diff(edges)
+    out = size > 3
+    group = np.repeat(np.arange(len(size)), size)
+    for step in (1, 2):
+        dx, dy = x[step:] - x[:-step], y[step:] - y[:-step]
+        near = (group[step:] == group[:-step]) & (dx > 0) & (dx <= reach) & (dy > 0) & (dy <= reach)
+        out[group[:-step][near]] = True
+    return out
+
+
 def _chained(k: int):
     """For each group (doc_id, pivot), whose rows come one after the other: the blocks of its chains of two seeds or more, and each block's chain."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for key, held in _groups(batches, ("doc_id", "pivot"), ("at", "pivot_at")):
-            x, y = (np.concatenate([h[i].to_numpy().astype(np.int64) for h in held]) for i in (0, 1))
-            if len(x) < 2:
-                continue
+        for doc, pivot, at, pivot_at in _whole_groups(batches, ("doc_id", "pivot", "at", "pivot_at")):
             # in one order, so that ties between chains fall alike in every run
-            x, y = np.unique(np.stack([x, y], axis=1), axis=0).T
-            x, y, size = blocks(x, y, k)
-            lists = _listed(chains(x, y, size, overlap=k - 1), x, y, size, k)
-            if lists[0]:
-                yield (*key, *lists)
+            order = np.lexsort((pivot_at, at, pivot, doc))
+            doc, pivot, x, y = doc[order], pivot[order], at[order].astype(np.int64), pivot_at[order].astype(np.int64)
+            fresh = np.ones(len(doc), bool)
+            other = (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])
+            fresh[1:] = other | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            first = np.concatenate([[True], other])[fresh]
+            doc, pivot, x, y = doc[fresh], pivot[fresh], x[fresh], y[fresh]
+            edges = np.append(np.flatnonzero(first), len(doc))
+            for g in np.flatnonzero(_hopeful(x, y, edges, MOST_GAP + k)).tolist():
+                b, e = int(edges[g]), int(edges[g + 1])
+                bx, by, size = blocks(x[b:e], y[b:e], k)
+                lists = _listed([[0]] if len(bx) == 1 else chains(bx, by, size, overlap=k - 1), bx, by, size, k)
+                if lists[0]:
+                    yield (int(doc[b]), int(pivot[b]), *lists)
 
     return lambda batches: _batched(rows(batches), _CHAINS)
 
@@ -515,6 +554,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _single(source: DataFrame, scratch: Scratch) -> DataFrame:
     """source (doc_id, text) with one row per id: that whose text has the least hash. Rows whose id doesn't repeat aren't shuffled."""
     twice = scratch.keep(source.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("least")).where("n > 1").select(F.col("doc_id").alias("id"), "least"), "twice")
+    if twice.isEmpty():
+        return source
     told = marked(source, "doc_id", sieve(twice, "id"), "may")
     met = told.where("may").join(twice.hint("merge"), F.col("doc_id") == F.col("id"), "left")
     repeated = met.where(F.xxhash64("text") == F.col("least")).groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -585,8 +626,11 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alike: float
     near = judged(found, REACH, "near")
     # alignments that go beyond the words at hand are made with whole documents
     beyond = near.where("start < 0").select("doc_id", F.col("other_id").alias("pivot")).distinct()
-    far = judged(found.join(beyond, ["doc_id", "pivot"], "left_semi"), 1 << 30, "far")
-    out = scratch.keep(near.where("start >= 0").union(far).distinct(), "passages")
-    for name in ("chains", "again", "near", "far"):
+    out = near.where("start >= 0")
+    if not beyond.isEmpty():
+        wide = scratch.keep(found.join(beyond, ["doc_id", "pivot"], "left_semi"), "wide")
+        out = out.union(judged(wide, 1 << 30, "far"))
+    out = scratch.keep(out.distinct(), "passages")
+    for name in ("chains", "again", "near", "wide", "far"):
         scratch.discard(name)
     return out
