@@ -151,10 +151,10 @@ def test_toxicity_grammar():
     texts = [" ".join(rng.choices(words, k=20)) + (f" {rng.choice(words)} {rng.choice(['idiot', 'moron'])}. " if i % 3 == 0 else "") for i in range(300)]
     g = toxicity.train(texts, [int(i % 3 == 0) for i in range(300)])
     assert {"idiot", "moron"} <= set(g.stems)
-    matched = lambda t: {f for f, n in zip(toxicity.FEATURES, g.matches(t, {}), strict=True) if n}
+    matched = lambda t: {f for f, n in zip(toxicity.FEATURES, g.matches(t), strict=True) if n}
     assert matched("you idiot") == {"aimed_insult"} and matched("you are not an idiot") == {"negated_aimed_insult"}
     assert matched('he said "idiot"') == {"reported_aimed_insult"} and matched("I will kill you. fine") == {"aimed_threat"} and matched("a fine day") == set()
-    assert all(g.score(g.matches(t, {})) > 0.5 for t in insult[:1]) and g.score(g.matches("", {})) < 0.5
+    assert all(g.score(g.matches(t)) > 0.5 for t in insult[:1]) and g.score(g.matches("")) < 0.5
 
 
 @pytest.mark.parametrize("edited", [False, True])
@@ -178,11 +178,93 @@ def test_insults_after_one_word_are_learned_from_many_rows():
     assert toxicity.learn_stems(toxic + clean, [1] * 1000 + [0] * 1000) == {"idiot", "moron"}
 
 
+HAND = toxicity.Grammar(frozenset({"idiot", "scum", "moron*"}), tuple(toxicity.PRIOR[p] * toxicity.PRIOR_MODE[m] for m in toxicity.MODES for p in toxicity.PATTERNS), toxicity.PRIOR_BIAS)
+
+
+@pytest.mark.parametrize(
+    ("text", "patterns", "toxic"),
+    [
+        ("I will kill you", ["aimed_threat"], True),
+        ("kill will I you", [], False),
+        ("you will I kill", ["threat"], False),
+        ("kill yourself", ["threat"], False),
+        ("I will not kill you", ["negated_aimed_threat"], False),
+        ("he said I will kill you", ["reported_aimed_threat"], False),
+        ("he said scum", ["reported_aimed_insult"], False),
+        ("scum said he", ["aimed_insult"], True),
+        ("not scum", ["negated_insult"], False),
+        ("scum not you", ["aimed_insult"], True),
+        ("it is not that i think so. scum", ["insult"], True),
+        ("not now but scum", ["insult"], True),
+        ('"you scum" and then some more scum', ["reported_aimed_insult", "insult"], True),
+        ('an open " quote\nscum', ["insult"], True),
+        ("you MORONIC day", ["aimed_insult"], True),
+        ("morose", [], False),
+        ("will they come. kill time", [], False),
+        ("", [], False),
+    ],
+)
+def test_order_and_scope_decide(text, patterns, toxic):
+    paths = HAND.paths(text)
+    assert [p for p, _, _ in paths] == patterns
+    assert (HAND.score(toxicity.tally(paths)) >= 0.5) is toxic
+
+
+def test_clauses_and_their_places():
+    text = "İ fine day. É you are scum, so! fine"
+    assert [(p, text[b:e]) for p, b, e in HAND.paths(text)] == [("aimed_insult", "É you are scum, so")]
+
+
+def test_composition_equals_running_the_transducers_one_after_the_other():
+    rng = random.Random(19)
+    for _ in range(500):
+        symbols = [rng.choice("IITWUNRQC,./OOO") for _ in range(rng.randrange(1, 25))]
+        stream = [*symbols, "/"]
+        for f in (toxicity.report, toxicity.negation, toxicity.target):
+            state, out = None, []
+            for x in stream:
+                state, y = f(state, x)
+                out.append(y)
+            stream = out
+        expected = Counter()
+        for f in (toxicity.insult, toxicity.threat):
+            state = None
+            for x in stream:
+                state, told = f(state, x)
+                expected.update([told] if told else [])
+        given = [(i, x) for i, x in enumerate(symbols) if x != "O"]
+        if given and given[-1][0] == len(symbols) - 1:
+            assert Counter(p for p, _ in toxicity.Composed().accepted(given)) == expected
+
+
+def test_composition_changes_results():
+    # without the scopes, as a list of words, all of these would be the same
+    without = toxicity.Composed(chain=(lambda s, x: (s, x),))
+    read = lambda g, t: [p for p, _ in g.accepted([(i, HAND.classes(w)) for i, w in enumerate(toxicity.TOKEN.findall(t)) if HAND.classes(w)])]
+    texts = ["he said scum", "not scum", '"scum"']
+    assert [read(without, t) for t in texts] == [["insult"]] * 3
+    assert [read(toxicity.GRAMMAR, t) for t in texts] == [["reported_aimed_insult"], ["negated_insult"], ["reported_insult"]]
+
+
+def test_toxicity_of_rows_equals_scoring_them_one_by_one(spark, small):
+    docs, known = table(spark, small, "documents"), table(spark, small, "labels")
+    grammar = toxicity.fit(docs, known)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op2_toxicity_grammar(spark, small).collect():
+        paths = grammar.paths(texts[r["doc_id"]] or "")
+        assert abs(r["score"] - grammar.score(toxicity.tally(paths))) < 1e-12 and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_toxicity_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, known = table(spark, folder, "documents"), table(spark, folder, "labels")
-    scored = toxicity.toxicity(docs, known).where("held_out").join(known, "doc_id")
-    assert scored.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.95
+    scored = toxicity.toxicity(docs, known).where("held_out").join(known, "doc_id").select("score", "predicted", "toxic").toPandas()
+    assert (scored["predicted"] == scored["toxic"]).mean() > 0.97
+    toxic, clean = scored[scored["toxic"] == 1], scored[scored["toxic"] == 0]
+    # some labelled rows hold no insult at all
+    assert toxic["predicted"].mean() > 0.8 and clean["predicted"].mean() < 0.01
+    above = (toxic["score"].to_numpy()[:, None] > clean["score"].to_numpy()[None, :]).mean() + (toxic["score"].to_numpy()[:, None] == clean["score"].to_numpy()[None, :]).mean() / 2
+    assert above > 0.9
 
 
 def test_tiles_are_greedy_and_reordered():
