@@ -20,8 +20,8 @@ from millrace.llm.scratch import Scratch
 
 K, S, PIECE = 6, 2, 24
 UNIT = r"[぀-ヿ㐀-䶿一-鿿]|[^\x20\x09-\x0D぀-ヿ㐀-䶿一-鿿]{1,%d}" % PIECE
-#: Rows of one ordered block in which a document finds its successor.
-BLOCK = 256
+#: Rows of one ordered range in which a document finds its successor, about; ranges of ids at most.
+BLOCK, MOST_RANGES = 256, 1 << 14
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -66,11 +66,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
 
 
-def matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Positional matches of two tables (doc_id, anchors): doc_id, at, other_id, other_at for each code they share."""
-    a = left.select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
-    b = right.select(F.col("doc_id").alias("other_id"), F.explode("anchors").alias("y")).select("other_id", F.col("y.at").alias("other_at"), F.col("y.code").alias("code"))
-    return a.join(b, "code").select("doc_id", "at", "other_id", "other_at")
+def matches(docs: DataFrame) -> DataFrame:
+    """Positional matches of a table (doc_id, anchors): doc_id, at, other_id, other_at for each anchor whose code a lesser document holds.
+
+    other_id is the least document that holds the code, at its first place there, so
+    a code that very many share costs a row per anchor and not per pair. Null ids
+    match nothing.
+    """
+    each = docs.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.at", "x.code")
+    first = each.groupBy("code").agg(F.min(F.struct("doc_id", "at")).alias("m"), F.max("doc_id").alias("last")).where("m.doc_id < last")
+    first = first.select("code", F.col("m.doc_id").alias("other_id"), F.col("m.at").alias("other_at"))
+    return each.join(first, "code").where("doc_id <> other_id").select("doc_id", "at", "other_id", "other_at")
 
 
 def _next_range(heads: DataFrame) -> DataFrame:
@@ -88,27 +94,61 @@ def _next_range(heads: DataFrame) -> DataFrame:
     return within.join(spans, "span").select("range", F.coalesce("nearer", "later").alias("x")).select("range", F.col("x.r").alias("next_range"), F.col("x.h").alias("next_head"))
 
 
+def _below(splits: Column, count: int, value: Column, equal: bool) -> Column:
+    """How many of the sorted splits are less than the value (or equal, if asked), by halving steps."""
+    steps = [1 << i for i in reversed(range(max(1, count.bit_length())))]
+
+    def step(at: Column, n: Column) -> Column:
+        next_ = F.element_at(splits, F.least(at + n, F.lit(count)))
+        return F.when((at + n <= count) & ((next_ <= value) if equal else (next_ < value)), at + n).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step) if count else F.lit(0)
+
+
+def placed_by_range(docs: DataFrame, block: int = BLOCK, most: int = MOST_RANGES) -> DataFrame:
+    """docs (doc_id, text) with tie (a hash of the text) and range: rows in order of (doc_id, tie), null ids first, in ranges of about `block` rows.
+
+    The ranges' bounds are quantiles of the ids, so gaps between ids don't matter;
+    an id that holds several quantiles, and null ids, are dealt to as many ranges by
+    their ties. Above `most` ranges these grow instead; the bounds are one array.
+    """
+    rows, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    count = min(most, known // block)
+    splits: list[int] = []
+    if count:
+        shares = [(i + 1) / (count + 1) for i in range(count)]
+        splits = docs.agg(F.percentile_approx("doc_id", F.lit(shares), F.lit(4 * most)).alias("x")).first()["x"]
+    bounds = F.lit(splits) if splits else F.expr("cast(array() as array<bigint>)")
+    # ties as shares of 0 to 1, in their own order
+    share = F.col("tie") / F.lit(2.0**64) + F.lit(0.5)
+    low, high = _below(bounds, len(splits), F.col("doc_id"), False), _below(bounds, len(splits), F.col("doc_id"), True)
+    dealt = lambda n: F.least(F.floor(share * n), F.greatest(n - 1, F.lit(0))).cast("long")
+    nulls = max(1, min(most, -(-(rows - known) // block)))
+    place = F.when(F.col("doc_id").isNull(), dealt(F.lit(nulls)) - nulls).otherwise(low + dealt(high - low))
+    return docs.withColumn("tie", F.xxhash64("text")).withColumn("range", place.cast("long"))
+
+
 def with_next(docs: DataFrame, scratch: Scratch, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df, block: int = BLOCK) -> DataFrame:
     """derive(docs) with next_<c> for each carried column: that of the following row by doc_id, the first row's after the last.
 
-    One shuffle: rows go to equal ranges of the id, each sorted by itself; where
-    a range ends, the first row of the next one that isn't empty follows. Null
-    ids come first; rows that repeat an id follow each other in any order.
+    One shuffle of the rows, to ranges of ids that hold about as many each, every
+    one sorted by itself; where a range ends, the first row of the next one follows.
+    Null ids come first; rows that repeat an id follow each other by a hash of their
+    texts, so reruns agree.
     """
-    bounds = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, rows = bounds[0] or 0, bounds[1] or 0, bounds[2]
-    width = max(1, -(-(high - low + 1) * block // max(rows, 1)))
-    placed = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long"))
-    after = scratch.keep(_next_range(placed.groupBy("range").agg(F.min("doc_id").alias("head"))), "heads")
-    # the first row of each range goes to the range before it
-    sought = after.select(F.col("range").alias("to_range"), "next_range", "next_head")
-    met = placed.join(sought, (placed["range"] == sought["next_range"]) & placed["doc_id"].eqNullSafe(sought["next_head"]))
+    placed = placed_by_range(docs, block)
+    order = F.struct("doc_id", "tie")
+    after = scratch.keep(_next_range(placed.groupBy("range").agg(F.min(order).alias("head"))), "heads")
+    # the first row of each range goes to the range before it; 2 * MOST_RANGES rows at most
+    sought = F.broadcast(after.select(F.col("range").alias("to_range"), "next_range", "next_head"))
+    same = placed["doc_id"].eqNullSafe(sought["next_head.doc_id"]) & (placed["tie"] == sought["next_head.tie"])
+    met = placed.join(sought, (placed["range"] == sought["next_range"]) & same)
     heads = met.groupBy("to_range").agg(F.first(F.struct(*docs.columns)).alias("row")).select("to_range", "row.*")
     heads = derive(heads).select("to_range", F.struct(*carried).alias("head"))
-    within = Window.partitionBy("range").orderBy("doc_id")
+    within = Window.partitionBy("range").orderBy("doc_id", "tie")
     lead = derive(placed).withColumn("following", F.lead(F.struct(*carried)).over(within))
     joined = lead.join(heads, lead["range"] == heads["to_range"], "left").withColumn("following", F.coalesce("following", "head"))
-    return joined.select(*(c for c in lead.columns if c not in ("range", "following")), *(F.col(f"following.{c}").alias(f"next_{c}") for c in carried))
+    return joined.select(*(c for c in lead.columns if c not in ("range", "tie", "following")), *(F.col(f"following.{c}").alias(f"next_{c}") for c in carried))
 
 
 def edited(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +156,10 @@ def edited(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id", text
 
     The edited text has the last floor(n / 2) code points replaced by the first
     as many, or all, of the next row by ascending doc_id (after the last: the
-    first). Null texts are empty; a single row follows itself.
+    first; null ids before all; equal ids by a hash of their texts). Null texts are
+    empty; a single row follows itself; every row, repeated ones too, has a row of
+    the result; an empty table has none; other columns, whatever their names, are
+    not read.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

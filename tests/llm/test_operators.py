@@ -498,6 +498,43 @@ def test_edited_texts_of_a_table(spark, small):
         text = own[: len(own) - half] + rows[(n + 1) % len(rows)][1][:half]
         assert found[i]["edited_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert 0 <= found[i]["near_edited"] <= 1 and prints.setdefault(own, found[i]["fingerprint"]) == found[i]["fingerprint"]
+    # the fingerprints of the edited texts, and the likenesses, once more and one by one
+    codes = lambda x: set(x.split(",")) - {""}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    changed = {i: own[: len(own) - len(own) // 2] + rows[(n + 1) % len(rows)][1][: len(own) // 2] for n, (i, own) in enumerate(rows)}
+    again = spark.createDataFrame(list(changed.items()), "doc_id long, text string").select("doc_id", fingerprints.fingerprint(fingerprints.anchors(F.col("text"))["code"]).alias("f")).collect()
+    assert all(found[r["doc_id"]]["edited_fingerprint"] == r["f"] for r in again)
+    for n, (i, _) in enumerate(rows):
+        own, following = codes(found[i]["fingerprint"]), codes(found[rows[(n + 1) % len(rows)][0]]["fingerprint"])
+        assert abs(found[i]["near_edited"] - alike(own, codes(found[i]["edited_fingerprint"]))) < 1e-12
+        assert abs(found[i]["near_next"] - alike(own, following)) < 1e-12
+
+
+@pytest.mark.parametrize("ids", ["wide", "skewed", "repeated", "null"])
+def test_every_row_is_followed_by_the_next_one(spark, ids):
+    rng = random.Random(20)
+    given = {
+        "wide": [rng.choice([-1, 1]) * rng.randrange(1 << 62) * 2 for _ in range(300)] + [-(2**63), 2**63 - 1],
+        "skewed": [*range(500), 10**15],
+        "repeated": [5] * 300 + list(range(100)) + [200] * 50,
+        "null": [None] * 200 + list(range(50)),
+    }[ids]
+    rows = [(i, f"{rng.random()} text") for i in given]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprints.placed_by_range(docs, block=16)
+    assert placed.groupBy("range").count().agg(F.max("count")).first()[0] < 100
+    tie = {r["text"]: r["tie"] for r in placed.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    found = fingerprints.with_next(docs, Scratch(spark, "test"), ["text"], block=16).collect()
+    assert {r["text"]: r["next_text"] for r in found} == {r[1]: order[(n + 1) % len(order)][1] for n, r in enumerate(order)}
+
+
+def test_positional_matches_go_to_the_least_holder(spark):
+    lead = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, f"x y {lead}"), (1, lead), (2, "none of it"), (4, lead), (None, lead)], "doc_id long, text string")
+    found = fingerprints.matches(docs.select("doc_id", fingerprints.anchors(F.col("text")).alias("anchors"))).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(3, 1), (4, 1)}
+    assert all(r["at"] - r["other_at"] == (2 if r["doc_id"] == 3 else 0) for r in found)
 
 
 def test_token_attribution(spark, small):
