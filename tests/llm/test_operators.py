@@ -730,6 +730,52 @@ def test_split_tree_is_exact_and_even():
     assert (mixing.split_tree(quotas, 6, 1) == found).all() and (found >= 0).all()
 
 
+def test_split_in_two_steps_is_exact():
+    import pandas as pd
+
+    quotas, shards = [7, 0, 100, 33, 12, 1, 64], 5
+    groups = {0: [0, 3, 6], 1: [1, 2], 2: [4, 5]}
+    sums = mixing.split_tree([sum(quotas[i] for i in own) for own in groups.values()], shards, 1)
+    taken = defaultdict(list)
+    for at, (g, own) in enumerate(groups.items()):
+        held = pd.DataFrame({"slot": own, "n": [quotas[i] for i in own]})
+        found = mixing.turns(held, g, shards, 1, sums[:, at].tolist())
+        per_shard = (found["high"] - found["low"] + 1).groupby(found["shard"]).sum()
+        assert [int(per_shard.get(k, 0)) for k in range(shards)] == sums[:, at].tolist()
+        for r in found.itertuples():
+            taken[r.slot] += range(r.low, r.high + 1)
+    assert {i: sorted(taken[i]) for i in range(len(quotas))} == {i: list(range(n)) for i, n in enumerate(quotas)}
+    assert sums.sum(axis=1).max() - sums.sum(axis=1).min() <= 1
+
+
+def test_shares_of_the_tree_are_hypergeometric():
+    # the mean share of each source in the first of four shards is a quarter of it, and its spread that of a draw without return
+    draws = np.array([mixing.split_tree([40, 20, 4], 4, seed)[0] for seed in range(600)])
+    assert np.allclose(draws.mean(axis=0), [10, 5, 1], atol=0.25)
+    assert np.allclose(draws.var(axis=0), [16 * (n / 64) * (1 - n / 64) * 48 / 63 for n in (40, 20, 4)], rtol=0.3)
+
+
+def test_result_shows_the_shards(spark, small):
+    found = queries.op10_source_mixing(spark, small).collect()
+    assert all(len(r["shards"]) == len(r["orders"]) == (r["taken"] // r["size"] if r["size"] else 0) for r in found)
+    whole = Counter(k for r in found for k in r["shards"])
+    assert set(whole) <= set(range(mixing.SHARDS))
+    docs = table(spark, small, "documents").withColumn("key", F.monotonically_increasing_id())
+    spread = mixing.mix(docs, key="key").shards(docs.withColumnRenamed("key", "own").withColumn("mix_shard", F.lit("old")), "own")
+    expected = Counter((r["doc_id"], k, o) for r in found for k, o in zip(r["shards"], r["orders"], strict=True))
+    assert Counter((r["doc_id"], r["mix_shard"], r["mix_order"]) for r in spread.where("text is not null").collect() if re.search(r"[^\x20\x09-\x0D]", r["text"])) == expected
+
+
+def test_targets_of_many_sources_equal_the_exact_ones(spark):
+    rng = random.Random(21)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 3, 10, 500, 9000]) for i in range(120)} | {None: 40, "é": 7, "Z": 90, "😀": 12, "ﬀ": 5}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    expected = mixing.targets(sizes)
+    names = dict(enumerate(sizes))
+    for r in mixing.mix(docs).taken().collect():
+        assert abs(r["target"] - float(expected[names[r["doc_id"]]])) < 1e-6 and r["source_size"] == sizes[names[r["doc_id"]]]
+
+
 def test_mix_meets_its_targets(spark, small):
     docs = table(spark, small, "documents")
     found = queries.op10_source_mixing(spark, small).collect()
