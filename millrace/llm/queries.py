@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, fingerprints, mixing, passages, quality, secret_scan, token_counts, toxicity, warc
+from millrace.llm import decontaminate, fingerprints, mixing, oracles, passages, quality, secret_scan, token_counts, toxicity, warc
 from millrace.llm.near_dedup import near_duplicates
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLE)
