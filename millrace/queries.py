@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import guards, records, typed
-from millrace.operators import chunks, faults, partitioning, processors
-from millrace.plans import repository
-from millrace.sources import readers
+from millrace.operators import chunks, faults, partitioning, processors, staging
+from millrace.plans import errors, jobs, repository
+from millrace.plans.domain import JobParameters, StepExecution
+from millrace.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,7 +174,10 @@ def criteria_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    path = staging.folder(spark, "payloads")
+    lines = F.regexp_replace("props", r"^\s*\{", F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", ")))
+    table(spark, sf_dir, "events").select(lines.alias("value")).write.text(path)
+    return readers.JsonLinesReader(path, "event_id long, k long").to_df(spark)
 
 
 # sinks
@@ -182,13 +186,106 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN event_type IN ('error', 'purchase') THEN event_type ELSE 'rest' END AS route, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def classified_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     route = processors.classify([("event_type = 'error'", "error"), ("event_type = 'purchase'", "purchase")], "rest")
-    return table(spark, sf_dir, "events").groupBy(route.alias("route")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    path = staging.folder(spark, "routes")
+    routes = {r: writers.ParquetWriter(f"{path}/route={r}") for r in ("error", "purchase", "rest")}
+    writers.RoutingWriter(route, routes).write(table(spark, sf_dir, "events").select("event_id", "event_type"))
+    return spark.read.parquet(path).groupBy("route").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 @query(f"SELECT i // {ROLL} AS resource_index, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY 1")
 def rolling_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = chunks.item_index(table(spark, sf_dir, "events").select("event_id"), ["event_id"])
-    return indexed.groupBy(F.floor(F.col("item_index") / ROLL).alias("resource_index")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    path = staging.folder(spark, "rolling")
+    writers.RollingWriter(path, limit=ROLL).write(indexed)
+    found = spark.read.parquet(path).withColumn("resource_index", F.col("resource_index").cast("long"))
+    return found.groupBy("resource_index").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query("SELECT 'id,name' AS value UNION ALL SELECT c_custkey || ',' || c_name FROM customer UNION ALL SELECT 'END'")
+def line_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "lines")
+    writers.LineWriter(path, F.concat_ws(",", "c_custkey", "c_name"), ["c_custkey"], "id,name", "END").write(table(spark, sf_dir, "customer"))
+    return spark.read.text(path)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{staging.folder(spark, 'array')}/nations.json"
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    writers.JsonArrayWriter(path, ["n_nationkey"]).write(nations)
+    return readers.JsonReader(path, nations.schema).to_df(spark)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def json_lines_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "json-lines")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    writers.JsonLinesWriter(path).write(suppliers)
+    return readers.JsonLinesReader(path, suppliers.schema).to_df(spark)
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "csv")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    writers.LineWriter(path, records.delimited_line(parts.columns)).write(parts)
+    return readers.CsvReader(path, parts.schema).to_df(spark)
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS version FROM customer")
+def merged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "merged")
+    writer = writers.MergeWriter(path, ["c_custkey"], "version")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    writer.write(customers.withColumn("version", F.lit(1)))
+    writer.write(customers.where("c_custkey % 2 = 0").withColumn("version", F.lit(2)))
+    return spark.read.parquet(path)
+
+
+# the chunk step: items under retry and skip, committed chunk by chunk
+
+_GROUP = 5
+
+
+def _step(spark: SparkSession, sf_dir: str, limit: int) -> tuple[StepExecution, DataFrame]:
+    """A step over all events: errors are skipped, views filtered, every 89th item fails at its first attempt."""
+    tried: set[int] = set()
+
+    def process(item: dict) -> dict | None:
+        if item["event_id"] % 89 == 0 and item["event_id"] not in tried:
+            tried.add(item["event_id"])
+            raise errors.TransientError("try again")
+        if item["event_type"] == "error":
+            raise ValueError("an error event")
+        return None if item["event_type"] == "view" else {"event_id": item["event_id"], "doubled": item["value"] * 2}
+
+    out = writers.ChunkDirectoryWriter(staging.folder(spark, "chunks"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    retry = faults.RetryTemplate(faults.SimpleRetry(2, {errors.TransientError: True}))
+    step = jobs.ChunkStep("events", reader=lambda s, e: (events, ["event_id"]), writer=out, size=CHUNK, group=_GROUP, process=process, schema="event_id long, doubled double", item_retry=retry, skip_limit=limit, skippable=("ValueError",))
+    runtime = jobs.Runtime(spark, repository.JobRepository(":memory:"))
+    execution = jobs.Launcher(runtime).run(jobs.Job("events", [step]), JobParameters())
+    done = sorted(runtime.repository.committed_chunks(execution.id, "events"))
+    return execution.steps[0], out.committed(spark, done).select("event_id", "doubled") if done else spark.createDataFrame([], "event_id long, doubled double")
+
+
+@query("SELECT event_id, value * 2 AS doubled FROM events WHERE event_type NOT IN ('error', 'view')")
+def step_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step(spark, sf_dir, 1 << 30)[1]
+
+
+@query(f"""SELECT count(*) AS read_count, count(*) FILTER (event_type NOT IN ('error', 'view')) AS write_count, count(*) FILTER (event_type = 'view') AS filter_count,
+  count(*) FILTER (event_type = 'error') AS process_skip_count, CAST(ceil(count(*) / {CHUNK * _GROUP}) AS BIGINT) AS commit_count FROM events""")
+def step_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _step(spark, sf_dir, 1 << 30)[0].counts
+    names = ["read_count", "write_count", "filter_count", "process_skip_count", "commit_count"]
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query(f"""WITH items AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events), bad AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM items WHERE event_type = 'error')
+  SELECT event_id, value * 2 AS doubled FROM items WHERE event_type NOT IN ('error', 'view') AND i // {CHUNK * _GROUP} < coalesce((SELECT i // {CHUNK * _GROUP} FROM bad WHERE n = 1501), 9223372036854775807)""")
+def step_skip_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step(spark, sf_dir, 1500)[1]
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -262,11 +359,14 @@ def row_job_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("o_orderkey", typed.job_key(["status", "customer"]).alias("job_key"))
 
 
-_REDACTED = r"""regexp_replace(regexp_replace(text, '(?i)\b(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|bearer|authorization|client[_-]?secret)\s*[:=]\s*\S+', '[REDACTED]', 'g'),
-  '(?i)\b(?:mysql|mysqli|pgsql|postgres(?:ql)?|sqlsrv|oci|sqlite|jdbc):[^\s]+', '[REDACTED]', 'g')"""
+def _redacted(text: str) -> str:
+    """The same patterns in the other engine's spelling."""
+    for pattern in typed.REDACTIONS:
+        text = f"regexp_replace({text}, '{pattern}', '{typed.REDACTED}', 'g')"
+    return text
 
 
-@query(f"SELECT doc_id, CASE WHEN length(t) > 4000 THEN substring(t, 1, 4000) || '…[truncated]' ELSE t END AS text FROM (SELECT doc_id, {_REDACTED} AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN length(t) > 4000 THEN substring(t, 1, 4000) || '…[truncated]' ELSE t END AS text FROM (SELECT doc_id, {_redacted('text')} AS t FROM documents)")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", typed.redact(F.col("text")).alias("text"))
 
@@ -369,9 +469,9 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("step_name"), F.col("user_id").alias("job_execution_id"))
 
 
-@query(f"SELECT e.id, e.job_instance_id, e.status, i.job_name, i.job_key FROM {_EXECUTIONS} e JOIN {_INSTANCES} i ON i.id = e.job_instance_id WHERE e.id < 100")
+@query(f"SELECT e.id, e.job_instance_id, e.status, i.job_name, i.job_key FROM {_EXECUTIONS} e JOIN {_INSTANCES} i ON i.id = e.job_instance_id")
 def execution_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.with_instance(_executions(spark, sf_dir).where("id < 100"), _instances(spark, sf_dir))
+    return repository.with_instance(_executions(spark, sf_dir), _instances(spark, sf_dir))
 
 
 @query(f"SELECT e.id, e.job_instance_id, e.status, i.job_name, i.job_key FROM {_EXECUTIONS} e JOIN {_INSTANCES} i ON i.id = e.job_instance_id WHERE e.status IN ('STARTING', 'STARTED', 'STOPPING')")

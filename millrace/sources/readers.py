@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from enum import Enum
+from threading import Lock
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.types import StringType, StructType
 
 from millrace.functions.guards import check_fragment, check_select, local_path, queue_key, quoted_identifier
+from millrace.operators.chunks import item_index, sorted_index
 
 PAGE, MOST_PAGE = 100, 10_000
 
@@ -21,10 +24,13 @@ class Reader(Protocol):
 
 
 def resumed(df: DataFrame, order: Sequence[str | Column], position: int = 0, most: int | None = None) -> DataFrame:
-    """The items of a total order from a position on, at most so many: offset and limit of one plan."""
-    out = df.orderBy(*order)
-    out = out.offset(position) if position else out
-    return out if most is None else out.limit(max(0, most - position))
+    """The items of a total order from a position on, in that order, and at most so many in all: a filter on their gapless index, in as many tasks as there are."""
+    if not position:
+        out = df.orderBy(*order)
+        return out if most is None else out.limit(max(0, most))
+    at = F.col("_position")
+    found = item_index(df, order, "_position").where((at >= position) & (at < most if most is not None else F.lit(True)))
+    return found.orderBy("_position").drop("_position")
 
 
 @dataclass(frozen=True)
@@ -198,6 +204,14 @@ class PagingQuery:
         return f"SELECT COUNT(*) AS n FROM {self.table}" + (f" WHERE {self.where}" if self.where else "")
 
 
+class PagingProvider(Protocol):
+    """What gives a paged reader its statements."""
+
+    def page(self, page: int, size: int = PAGE) -> str: ...
+
+    def count(self) -> str: ...
+
+
 @dataclass(frozen=True)
 class PagedReader:
     """Pages of a query in order, from an absolute row position: a restart inside a page neither loses nor repeats rows."""
@@ -209,10 +223,12 @@ class PagedReader:
         return spark.sql(self.query.page(number, self.size))
 
     def pages(self, spark: SparkSession, position: int = 0) -> Iterator[DataFrame]:
+        # sorted and numbered once; a page is a range of the number, which the files' statistics narrow down
+        numbered = sorted_index(self.to_df(spark), "_position")
         total = spark.sql(self.query.count()).first()["n"]
         while position < total:
             most = self.size - position % self.size
-            yield self.to_df(spark).offset(position).limit(most)
+            yield numbered.where(F.col("_position").between(position, position + most - 1)).orderBy("_position").drop("_position")
             position += most
 
     def to_df(self, spark: SparkSession) -> DataFrame:
@@ -260,6 +276,40 @@ class MappedReader:
         return self.processor(self.inner.to_df(spark))
 
 
+@dataclass(frozen=True)
+class SynchronizedReader:
+    """One thread of the driver at a time may open the inner reader, so steps in parallel can share it."""
+
+    inner: Reader
+    lock: Any = field(default_factory=Lock, compare=False)
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        with self.lock:
+            return self.inner.to_df(spark)
+
+
+def with_resource(reader: Any, path: str) -> Any:
+    """The same reader or writer for another path."""
+    return replace(reader, path=path)
+
+
+@dataclass(frozen=True)
+class ScriptedReader:
+    """Items and errors in a given order, for tests: the read fails where an error comes."""
+
+    script: Sequence[Any]
+    schema: StructType | str
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        def items() -> Iterator[Any]:
+            for x in self.script:
+                if isinstance(x, BaseException):
+                    raise x
+                yield x
+
+        return IterableReader(items(), self.schema).to_df(spark)
+
+
 class Streams:
     """Opens, updates and closes several resources; closing tries all, then raises the first error."""
 
@@ -285,13 +335,22 @@ class Streams:
             raise failed[0]
 
 
+class QueueStructure(Enum):
+    """How a key-value server holds a queue."""
+
+    LIST, SET, STREAM = "list", "set", "stream"
+
+
 class QueueSource(DataSource):
     """A queue (list, set or stream of a key-value server) as a batch or streaming source.
 
     options: `client`, the dotted name of a function without arguments that gives a
-    client with range(key, start, count) -> list of texts; `key`; `batch`. Reading
-    does not remove entries: the position is the query's checkpoint, so a restart
-    neither loses nor repeats them.
+    client; `key`; `batch`; `structure`; `partitions`. The client has
+    range(key, start, count) -> texts for a list, and length(key) if it is read in
+    several partitions; scan(key, cursor, count) -> (cursor, texts), 0 at the end, for
+    a set; after(key, id, count) -> (id, text) pairs for a stream. Reading does not
+    remove entries: the position is the query's checkpoint, so a restart neither
+    loses nor repeats them. Sets have no order and are read in batches alone.
     """
 
     @classmethod
@@ -308,37 +367,66 @@ class QueueSource(DataSource):
         return getattr(importlib.import_module(module), name)()
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _QueueBatch(self._client, queue_key(self.options["key"]), int(self.options.get("batch", 1000)))
+        structure = QueueStructure(self.options.get("structure", "list"))
+        return _QueueBatch(self._client, queue_key(self.options["key"]), int(self.options.get("batch", 1000)), structure, int(self.options.get("partitions", 1)))
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
-        return _QueueStream(self._client, queue_key(self.options["key"]), int(self.options.get("batch", 1000)))
+        structure = QueueStructure(self.options.get("structure", "list"))
+        if structure is QueueStructure.SET:
+            raise ValueError("a set has no order to resume from")
+        return _QueueStream(self._client, queue_key(self.options["key"]), int(self.options.get("batch", 1000)), structure)
 
 
 class _QueueBatch(DataSourceReader):
-    def __init__(self, client: Callable[[], Any], key: str, batch: int):
-        self.client, self.key, self.batch = client, key, batch
+    def __init__(self, client: Callable[[], Any], key: str, batch: int, structure: QueueStructure = QueueStructure.LIST, count: int = 1):
+        self.client, self.key, self.batch, self.structure, self.count = client, key, batch, structure, count
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        if self.structure is not QueueStructure.LIST or self.count == 1:
+            return [InputPartition((0, None))]
+        total = self.client().length(self.key)
+        edges = [total * i // self.count for i in range(self.count + 1)]
+        return [InputPartition((a, b)) for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
-        client, at = self.client(), 0
-        while found := client.range(self.key, at, self.batch):
-            yield from ((at + i, v) for i, v in enumerate(found))
-            at += len(found)
+        client, (at, end) = self.client(), partition.value
+        if self.structure is QueueStructure.LIST:
+            while found := client.range(self.key, at, self.batch if end is None else min(self.batch, end - at)):
+                yield from ((at + i, v) for i, v in enumerate(found))
+                at += len(found)
+                if at == end:
+                    return
+        elif self.structure is QueueStructure.SET:
+            cursor = None
+            while cursor != 0:
+                cursor, found = client.scan(self.key, cursor or 0, self.batch)
+                yield from ((at + i, v) for i, v in enumerate(found))
+                at += len(found)
+        else:
+            last = "0"
+            while found := client.after(self.key, last, self.batch):
+                yield from ((at + i, v) for i, (_, v) in enumerate(found))
+                at, last = at + len(found), found[-1][0]
 
 
 class _QueueStream(SimpleDataSourceStreamReader):
-    def __init__(self, client: Callable[[], Any], key: str, batch: int):
-        self.client, self.key, self.batch = client, key, batch
+    def __init__(self, client: Callable[[], Any], key: str, batch: int, structure: QueueStructure = QueueStructure.LIST):
+        self.client, self.key, self.batch, self.structure = client, key, batch, structure
 
     def initialOffset(self) -> dict:
-        return {"at": 0}
+        return {"at": 0} if self.structure is QueueStructure.LIST else {"at": 0, "id": "0"}
 
     def read(self, start: dict) -> tuple[Iterator[tuple[int, str]], dict]:
+        if self.structure is QueueStructure.STREAM:
+            entries = self.client().after(self.key, start["id"], self.batch)
+            end = {"at": start["at"] + len(entries), "id": entries[-1][0] if entries else start["id"]}
+            return iter([(start["at"] + i, v) for i, (_, v) in enumerate(entries)]), end
         found = self.client().range(self.key, start["at"], self.batch)
         return iter([(start["at"] + i, v) for i, v in enumerate(found)]), {"at": start["at"] + len(found)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, str]]:
+        if self.structure is QueueStructure.STREAM:
+            entries = self.client().after(self.key, start["id"], end["at"] - start["at"])
+            return iter([(start["at"] + i, v) for i, (_, v) in enumerate(entries)])
         found = self.client().range(self.key, start["at"], end["at"] - start["at"])
         return iter([(start["at"] + i, v) for i, v in enumerate(found)])
