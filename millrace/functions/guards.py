@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import base64
 import hashlib
 import hmac
 import json
+import operator
 import re
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 from pathlib import Path
 from typing import Any
@@ -146,6 +148,95 @@ def bind(template: str, job_parameters: Mapping[str, Any] = (), step_context: Ma
     return _PLACE.sub(lambda m: text(maps[m[1]].get(m[3])), template)
 
 
+_EXPRESSION = re.compile(r"#\{(.*?)\}", re.DOTALL)
+_OPERATIONS: dict[type, Callable[..., Any]] = {
+    ast.Add: operator.add,
+    ast.Sub: operator.sub,
+    ast.Mult: operator.mul,
+    ast.Div: operator.truediv,
+    ast.FloorDiv: operator.floordiv,
+    ast.Mod: operator.mod,
+    ast.Eq: operator.eq,
+    ast.NotEq: operator.ne,
+    ast.Lt: operator.lt,
+    ast.LtE: operator.le,
+    ast.Gt: operator.gt,
+    ast.GtE: operator.ge,
+    ast.In: lambda a, b: a in b,
+    ast.NotIn: lambda a, b: a not in b,
+    ast.USub: operator.neg,
+    ast.Not: operator.not_,
+}
+
+
+def evaluate(expression: str, names: Mapping[str, Any]) -> Any:
+    """An expression over named maps and values: literals, arithmetic, comparisons, and/or/not, a if c else b, m['k'] and m.k (none if missing).
+
+    Nothing can be called, and nothing but the given names is seen.
+    """
+    if len(expression) > EXPRESSION_LENGTH:
+        raise ValueError("the expression is too long")
+
+    def value(node: ast.AST) -> Any:
+        match node:
+            case ast.Expression():
+                return value(node.body)
+            case ast.Constant():
+                return node.value
+            case ast.Name(id=name):
+                if name not in names:
+                    raise ValueError(f"unknown name {name}")
+                return names[name]
+            case ast.Subscript():
+                held, key = value(node.value), value(node.slice)
+                return held.get(key) if isinstance(held, Mapping) else held[key]
+            case ast.Attribute(attr=key):
+                held = value(node.value)
+                if not isinstance(held, Mapping):
+                    raise ValueError(f"{key} of something that is no map")
+                return held.get(key)
+            case ast.BinOp() if type(node.op) in _OPERATIONS:
+                left, right = value(node.left), value(node.right)
+                if isinstance(node.op, ast.Mult) and not all(isinstance(x, (int, float)) for x in (left, right)):
+                    raise ValueError("only numbers can be multiplied")
+                return _OPERATIONS[type(node.op)](left, right)
+            case ast.UnaryOp() if type(node.op) in _OPERATIONS:
+                return _OPERATIONS[type(node.op)](value(node.operand))
+            case ast.BoolOp():
+                out = None
+                for part in node.values:
+                    out = value(part)
+                    if bool(out) == isinstance(node.op, ast.Or):
+                        break
+                return out
+            case ast.Compare():
+                left = value(node.left)
+                for op, part in zip(node.ops, node.comparators, strict=True):
+                    right = value(part)
+                    if type(op) not in _OPERATIONS or not _OPERATIONS[type(op)](left, right):
+                        return False
+                    left = right
+                return True
+            case ast.IfExp():
+                return value(node.body if value(node.test) else node.orelse)
+            case ast.List() | ast.Tuple():
+                return [value(x) for x in node.elts]
+        raise ValueError(f"not allowed in an expression: {type(node).__name__}")
+
+    try:
+        return value(ast.parse(expression.strip(), mode="eval"))
+    except SyntaxError as e:
+        raise ValueError(f"not an expression: {expression}") from e
+
+
+def bind_expressions(template: str, job_parameters: Mapping[str, Any] | None = None, step_context: Mapping[str, Any] | None = None, job_context: Mapping[str, Any] | None = None) -> Any:
+    """A template whose #{...} are expressions: the value itself if it is one expression alone, else a text with them filled in."""
+    names = {"jobParameters": job_parameters or {}, "stepExecutionContext": step_context or {}, "jobExecutionContext": job_context or {}}
+    if (whole := _EXPRESSION.fullmatch(template)) and "#{" not in whole[1]:
+        return evaluate(whole[1], names)
+    return _EXPRESSION.sub(lambda m: "" if (v := evaluate(m[1], names)) is None else str(v), template)
+
+
 def query(spark, template: str, **maps: Mapping[str, Any]):
     """spark.sql of a template whose places are bound as named parameters, never pasted into the text."""
     args: dict[str, Any] = {}

@@ -94,12 +94,34 @@ def script(function: Callable[[dict[str, Any]], dict[str, Any] | None], schema:
     return run
 
 
+def concurrent(call: Callable[[dict[str, Any]], dict[str, Any] | None], schema: StructType | str, workers: int = 8) -> Processor:
+    """A callable that waits for others (a service, a file), so many items at once in each task; None drops the item, order stays."""
+
+    def run(df: DataFrame) -> DataFrame:
+        target = df.sparkSession.createDataFrame([], schema).schema
+
+        def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from concurrent.futures import ThreadPoolExecutor
+
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow, names = to_arrow_schema(target), target.fieldNames()
+            with ThreadPoolExecutor(workers) as pool:
+                for batch in given:
+                    out = [r for r in pool.map(call, batch.to_pylist()) if r is not None]
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out], schema=arrow)
+
+        return df.mapInArrow(batches, target)
+
+    return run
+
+
 def adapter(target: Any, method: str, schema: StructType | str) -> Processor:
     return script(getattr(target, method), schema)
 
 
 def rules_of(specification: dict[str, Sequence[str]]) -> dict[str, Column]:
-    """A table of field rules (required, min:n, max:n, in:a|b, regex:p, numeric) as named predicates."""
+    """A table of field rules (required, min:n, max:n, between:a,b, size:n, least_length:n, most_length:n, in:a|b, not_in:a|b, regex:p, numeric, integer, date, email, same:field) as named predicates."""
     made: dict[str, Column] = {}
     for field, rules in specification.items():
         value = F.col(field)
@@ -111,6 +133,15 @@ def rules_of(specification: dict[str, Sequence[str]]) -> dict[str, Column]:
                 "max": lambda v, a: v.isNull() | (v <= float(a)),
                 "in": lambda v, a: v.isNull() | v.cast("string").isin(*a.split("|")),
                 "regex": lambda v, a: v.isNull() | v.cast("string").rlike(a),
+                "between": lambda v, a: v.isNull() | v.between(*map(float, a.split(","))),
+                "size": lambda v, a: v.isNull() | (F.char_length(v.cast("string")) == int(a)),
+                "least_length": lambda v, a: v.isNull() | (F.char_length(v.cast("string")) >= int(a)),
+                "most_length": lambda v, a: v.isNull() | (F.char_length(v.cast("string")) <= int(a)),
+                "not_in": lambda v, a: v.isNull() | ~v.cast("string").isin(*a.split("|")),
+                "integer": lambda v, a: v.isNull() | v.cast("string").try_cast("bigint").isNotNull(),
+                "date": lambda v, a: v.isNull() | v.cast("string").try_cast("date").isNotNull(),
+                "email": lambda v, a: v.isNull() | v.cast("string").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
+                "same": lambda v, a: v.eqNullSafe(F.col(a)),
                 "numeric": lambda v, a: v.isNull() | v.cast("string").try_cast("double").isNotNull(),
             }[kind](value, argument)
             made[f"{field}: {rule}"] = test

@@ -48,8 +48,10 @@ class JobRepository:
     stands there.
     """
 
-    def __init__(self, path: str = ":memory:", prefix: str = "batch_"):
-        self.prefix, self._lock = prefix, threading.RLock()
+    def __init__(self, path: str = ":memory:", prefix: str = "batch_", isolation: str = "IMMEDIATE"):
+        if isolation not in ("DEFERRED", "IMMEDIATE", "EXCLUSIVE"):
+            raise ValueError(f"no isolation is named {isolation}")
+        self.prefix, self.isolation, self._lock = prefix, isolation, threading.RLock()
         self._db = sqlite3.connect(path, check_same_thread=False, isolation_level=None)
         self._depth = 0
         for name, columns in TABLES.items():
@@ -72,7 +74,7 @@ class JobRepository:
         """A transaction; inner ones are savepoints."""
         with self._lock:
             point = f"sp_{self._depth}"
-            self._run("BEGIN IMMEDIATE" if self._depth == 0 else f"SAVEPOINT {point}")
+            self._run(f"BEGIN {self.isolation}" if self._depth == 0 else f"SAVEPOINT {point}")
             self._depth += 1
             try:
                 yield self

@@ -120,7 +120,7 @@ def chunk_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_COUNTS}, CAST(ceil(count(*) / {CHUNK}) AS BIGINT) AS commit_count FROM (SELECT {_OUTCOME} AS outcome FROM orders)")
 def step_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.step_totals(chunks.chunk_counters(_chunked(spark, sf_dir)))
+    return chunks.whole_totals(table(spark, sf_dir, "orders").select(F.expr(_OUTCOME).alias("outcome")), CHUNK)
 
 
 @query("SELECT event_id, user_id, CAST(count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS chunk_id FROM events")
