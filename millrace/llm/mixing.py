@@ -32,8 +32,8 @@ CAP = 3
 #: Rows that a block has about, and the most blocks of a source, as a power of two.
 BLOCK_ROWS, MOST_BITS = 64, 20
 SHARDS, SEED = 32, 11
-#: Groups of sources that the tree splits first; leading bits of blocks and of draws that are summed first.
-GROUPS, COARSE = 1024, 10
+#: Groups of sources that the tree splits first; bits of a block's number within a run that is summed by itself; leading bits of draws that are counted first.
+GROUPS, RUN_BITS, DRAW_BITS = 1024, 5, 10
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(1), cap: int = CAP) -> dict[str | None, Fraction]:
@@ -222,7 +222,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARD
 
     # the partial pass: whole blocks in order while they fit, then rows of the next block, a 2**bits-th of the source;
     # sums of runs of blocks first, then within each run, so no task orders all blocks of a source
-    coarse = blocks.withColumn("run", F.shiftright("block", COARSE))
+    coarse = blocks.withColumn("run", F.shiftright("block", RUN_BITS))
     runs = coarse.groupBy("slot", "run").agg(F.sum("words").alias("words"))
     earlier = Window.partitionBy("slot").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("slot", "run", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
@@ -242,7 +242,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARD
     whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda i: F.struct(i.alias("copy"), F.lit(False).alias("partial")))).otherwise(F.expr("cast(array() as array<struct<copy: int, partial: boolean>>)"))
     copies = taken.select("slot", "block", F.explode(F.concat(whole, extra)).alias("x")).select("slot", "block", "x.copy", "x.partial")
     # each source's copies in the order of a hash: counts by its leading bits first, then numbers within these
-    copies = copies.withColumn("draw", F.xxhash64(F.lit(seed), "slot", "copy", "block")).withColumn("run", F.shiftrightunsigned("draw", 64 - COARSE))
+    copies = copies.withColumn("draw", F.xxhash64(F.lit(seed), "slot", "copy", "block")).withColumn("run", F.shiftrightunsigned("draw", 64 - DRAW_BITS))
     counts = copies.groupBy("slot", "run").agg(F.count("*").alias("n"))
     counts = counts.select("slot", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     drawn = Window.partitionBy("slot", "run").orderBy("draw", "copy", "block")

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textkit
@@ -39,7 +39,7 @@ MISS = 1e-6
 MOST_BANDS = 27
 #: Documents of a candidate group that one task compares with as many others.
 BLOCK = 4096
-#: Classes of one pivot that a task compares with it: a pivot's set is repeated once per so many.
+#: Classes of one bucket that a task compares with its pivot: the pivot's set is repeated once per so many.
 BESIDE = 256
 
 
@@ -130,21 +130,24 @@ def _lists(nodes: list, held: list[np.ndarray], schema: pa.Schema) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=schema)
 
 
-def _beside(scratch: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """pairs (pivot, node, ...) with the sets x of the node and y of the pivot.
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (pivot, node, slots, ...) with the sets x of the node and y of the pivot.
 
-    A pivot that many classes meet is dealt out: its set goes to one slot per
-    BESIDE classes, so no task gets all of them.
+    A pivot that many classes meet is dealt out: its set goes to the greatest number
+    of slots that a pair of it asks for, each pair to one of its own, so no task gets
+    all of them.
     """
-    # written: the join with it is then one of plain exchanges, of which Spark splits a hot pivot
-    slots = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("slots")), name)
-    dealt = pairs.join(slots, "pivot").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), F.col("slots")).cast("int")).drop("slots")
+    slots = pairs.groupBy("pivot").agg(F.max("slots").alias("slots"))
     pivots = slots.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("y")), "pivot")
     pivots = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "y")
-    own = dealt.join(sets.select("node", F.col("shingles").alias("x")), "node")
+    own = pairs.withColumn("slot", _slot()).drop("slots").join(sets.select("node", F.col("shingles").alias("x")), "node")
     return own.join(pivots.hint("merge"), ["pivot", "slot"])
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(3)), F.col("slots")).cast("int")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -173,8 +176,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     # buckets with two or more classes, and each class's pivot in each of them; written first, so that both sides of the
     # join are plain exchanges, of which Spark splits a hot band
     entries = classes.select(F.explode("bands").alias("band"), "node")
-    shared = scratch.keep(entries.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot"), "shared")
-    met = entries.join(shared.hint("merge"), "band").where("node <> pivot").select("node", "pivot").distinct()
+    # a bucket's classes are dealt to so many slots beside its pivot
+    slots = F.ceil(F.count("*") / BESIDE).cast("int").alias("slots")
+    shared = scratch.keep(entries.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), slots).where("pivot < last").select("band", "pivot", "slots"), "shared")
+    met = entries.join(shared.hint("merge"), "band").where("node <> pivot").groupBy("node", "pivot").agg(F.max("slots").alias("slots"))
     pairs = scratch.keep(met, "pairs")
     scratch.discard("shared")
 
@@ -186,20 +191,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     scratch.discard("wanted")
 
     common = F.size(F.array_intersect("x", "y"))
-    first = _beside(scratch, pairs, sets, "slots").select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
+    first = _beside(pairs, sets).select("node", "pivot", common.alias("common"), (F.size("x") + F.size("y")).alias("sum"))
     first = first.where(F.expr(f"100L * common >= {percent} * (sum - common)"))
     links = scratch.keep(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
     labels = components(scratch, links, "labels")
 
     # pivots that still hold several components: their classes' differences, compared in blocks
-    held = pairs.select("pivot", "node").union(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
-    placed = held.join(labels, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high and held > 2")
-    split = split.select("pivot", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    open_ = scratch.keep(placed.join(split, "pivot"), "open")
+    held = pairs.select("pivot", "node", "slots").union(pairs.groupBy("pivot").agg(F.max("slots").alias("slots")).select("pivot", F.col("pivot").alias("node"), "slots"))
+    placed = held.join(labels, "node", "left").select("pivot", "node", "slots", F.coalesce("component", "node").alias("component"), _slot().alias("slot"))
+    split = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"), F.max("slots").alias("most")).where("low <> high and held > 2")
+    split = split.select("pivot", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("slot"))
+    open_ = scratch.keep(placed.join(split, ["pivot", "slot"]).drop("slot"), "open")
     if not open_.isEmpty():
         own = F.array_except("x", "y")
-        delta = _beside(scratch, open_, sets, "more-slots")
+        delta = _beside(open_, sets)
         delta = delta.select("pivot", "node", "component", "blocks", F.size("x").alias("n"), F.concat(own, F.array_except("y", "x")).alias("delta"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = delta.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -208,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
         more = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(percent), "a long, b long")
         more = scratch.keep(more, "more")
         labels = components(scratch, links.union(more), "relabel")
-    for name in ("pairs", "sets", "links", "open", "more", "slots", "more-slots"):
+    for name in ("pairs", "sets", "links", "open", "more"):
         scratch.discard(name)
 
     # every row takes its class's component
