@@ -26,6 +26,7 @@ CONSTRUCTS = (
     " information_schema", " pg_sleep", " waitfor ", " delay ", " sleep(", " xp_cmdshell", " get_lock(",
     " release_lock(", " version(", "@@version",
 )
+FORBIDDEN = (("\0", "NUL"), (";", "several statements"), ("--", "a comment"), ("/*", "a comment"), ("\u0085", "a line separator"), ("\u2028", "a line separator"), ("\u2029", "a line separator"))
 KEY_LENGTH, LIST_LIMIT, EXPRESSION_LENGTH = 512, 500, 32_768
 MESSAGE_AGE_SECONDS, LEEWAY_SECONDS = 7 * 24 * 3600, 300
 
@@ -41,7 +42,7 @@ def quoted_identifier(name: str) -> str:
 def check_fragment(sql: str, role: str = "query") -> str:
     """Refuse text that could hold a second statement, a comment, UNION or another unwanted construct."""
     lower = sql.lower()
-    for bad, why in (("\0", "NUL"), (";", "several statements"), ("--", "a comment"), ("/*", "a comment"), ("\u0085", "a line separator"), (" ", "a line separator"), (" ", "a line separator")):
+    for bad, why in FORBIDDEN:
         if bad in sql:
             raise ValueError(f"unsafe SQL in {role}: {why}")
     if any(x in lower for x in CONSTRUCTS) or re.search(r"\bunion\b", lower):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,6 +103,38 @@ def pass_through_fields(*columns: str) -> Column:
     return F.array(*(F.col(c).cast("string") for c in columns))
 
 
+def field_at(values: Column, index: int) -> Column:
+    """The field at an index from 0; an index that the record doesn't have is an error, not null."""
+    if index < 0:
+        raise ValueError(f"no field is at {index}")
+    return F.when(F.size(values) > index, F.get(values, F.lit(index))).otherwise(F.raise_error(F.concat(F.lit(f"no field is at {index} of "), F.size(values).cast("string"))))
+
+
+def field_named(names: Sequence[str], values: Column, name: str) -> Column:
+    """The field of a name; an unknown name is an error at once."""
+    if name not in names:
+        raise ValueError(f"no field is named {name}")
+    return field_at(values, list(names).index(name))
+
+
+class LineTokenizer(Protocol):
+    """A line to a struct of its fields."""
+
+    def __call__(self, line: Column) -> Column: ...
+
+
+class LineAggregator(Protocol):
+    """A row's columns to a line."""
+
+    def __call__(self, *fields: Column) -> Column: ...
+
+
+class FieldMapper(Protocol):
+    """Named fields to the columns of an item."""
+
+    def __call__(self, fields: Column) -> dict[str, Column]: ...
+
+
 def field_map(names: Sequence[str], values: Column) -> Column:
     """A map from names to an array's values, as many as there are names."""
     return F.map_from_arrays(F.array(*map(F.lit, names)), values)

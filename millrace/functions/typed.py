@@ -62,6 +62,9 @@ def job_key_of(pairs: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Secrets and connection strings replaced, the rest cut at KEPT_CHARACTERS; null stays null."""
+    # every pattern needs one of these characters
+    given, needed = text, text.contains(":") | text.contains("=")
     for pattern in REDACTIONS:
         text = F.regexp_replace(text, pattern, REDACTED)
+    text = F.when(needed, text).otherwise(given)
     return F.when(F.char_length(text) > KEPT_CHARACTERS, F.concat(F.substring(text, 1, KEPT_CHARACTERS), F.lit(TRUNCATED))).otherwise(text)

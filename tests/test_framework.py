@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import __main__ as cli
-from millrace.functions import guards
-from millrace.operators import faults, processors
+from millrace.functions import guards, records
+from millrace.operators import chunks, faults, processors
 from millrace.plans import builders, errors, events, jobs, repository, scopes, testing
 from millrace.plans.domain import BatchStatus, ExitStatus, JobParameters
 from millrace.sources import readers, writers
@@ -478,3 +478,45 @@ def test_pretty_arrays_and_appended_lines(spark, tmp_path):
     for _ in range(2):
         writers.LineWriter(str(tmp_path / "lines"), F.col("id").cast("string"), ["id"], header="h", append=True).write(spark.range(2))
     assert "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*"))) == "h\n0\n1\nh\n0\n1\n"
+
+
+def test_fields_are_checked(spark):
+    df = spark.createDataFrame([(["a", "b"],)], "v array<string>")
+    assert tuple(df.select(records.field_at(F.col("v"), 1), records.field_named(["x", "y"], F.col("v"), "x")).first()) == ("b", "a")
+    with pytest.raises(ValueError, match="no field is named"):
+        records.field_named(["x"], F.col("v"), "z")
+    with pytest.raises(Exception, match="no field is at 2"):
+        df.select(records.field_at(F.col("v"), 2)).collect()
+
+
+def test_chunk_parts_and_repeat_template(spark):
+    written = []
+    provided = chunks.OrderedChunks(["id"], 4).provide(spark.range(10))
+    processor = chunks.WritingProcessor(processors.filtering("id % 2 = 0"), lambda df, n: written.append((n, sorted(r["id"] for r in df.collect()))))
+    for n in range(3):
+        processor.process(provided.where(F.col("chunk_id") == n), n)
+    assert written == [(0, [0, 2]), (1, [4, 6]), (2, [8])]
+
+    class Told:
+        def __init__(self):
+            self.rounds = []
+
+        def after(self, context, results):
+            self.rounds.append(results)
+
+    told, left = Told(), iter([chunks.CONTINUABLE] * 5 + [chunks.FINISHED] * 9)
+    assert chunks.RepeatTemplate(listeners=[told], workers=3).iterate(lambda c: next(left)) == chunks.FINISHED and len(told.rounds) == 2
+    assert chunks.RepeatTemplate(chunks.CountPolicy(4)).iterate(lambda c: chunks.CONTINUABLE) == chunks.CONTINUABLE
+
+
+def test_stateful_retry_without_recovery():
+    store = faults.MemoryStore()
+
+    def fail():
+        raise errors.TransientError("no")
+
+    for _ in range(2):
+        with pytest.raises(errors.TransientError):
+            faults.StatefulRetry(2, store).execute("k", fail)
+    with pytest.raises(errors.ExhaustedRetryError):
+        faults.StatefulRetry(2, store).execute("k", fail)
