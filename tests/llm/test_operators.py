@@ -765,6 +765,29 @@ def test_repeated_passages_of_a_table(spark, small):
     assert must <= {r["doc_id"] for r in found} | {r["other_id"] for r in found} and must
 
 
+def test_every_exact_run_of_a_table_is_covered(spark):
+    # per run of words, not per document: each stretch of 51 words that another document holds lies in a passage
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = {r["doc_id"]: r["text"].encode().lower().split() for r in docs.where("text is not null").collect()}
+    where = defaultdict(set)
+    for i, w in rows.items():
+        for j in range(len(w) - 50):
+            where[hash(tuple(w[j : j + 51]))].add(i)
+    got = {i: np.zeros(len(w), bool) for i, w in rows.items()}
+    for r in passages.repeats(docs).collect():
+        got[r["doc_id"]][r["start"] : r["end"]] = True
+        got[r["other_id"]][r["other_start"] : r["other_end"]] = True
+    shares = []
+    for i, w in rows.items():
+        must = np.zeros(len(w), bool)
+        for j in range(len(w) - 50):
+            if len(where[hash(tuple(w[j : j + 51]))]) > 1 and len(set(w[j : j + 51])) > 10:
+                must[j : j + 51] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], must.astype(int), [0]])))
+        shares += [got[i][a:b].mean() for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    assert len(shares) > 100 and np.mean(np.array(shares) >= 0.9) > 0.98
+
+
 def test_targets_reshare_the_excess():
     t = mixing.targets({"a": 100, "b": 10, "c": 90, None: 0})
     assert sum(t.values()) == 200 and t["b"] == 30 and t[None] == 0 and all(t[s] <= 3 * n for s, n in {"a": 100, "c": 90}.items())
