@@ -3,7 +3,9 @@
 Each transducer rewrites a stream of symbols, one word or mark at a time:
 
 lexicon    words to classes: insult stems learned from labelled rows, threat verbs,
-           intent, targets, negation, reporting verbs, contrast, quotation marks, ends
+           intent, targets, negation, reporting verbs, contrast, quotation marks, ends;
+           words of loose stems, which clean rows hold by chance as well, are insults
+           where a text has several different ones
 report     marks insults and threats between quotation marks or after a reporting verb
 negation   marks those that follow a negation within a few words of its clause
 target     marks insults that follow a target within a few words
@@ -38,6 +40,8 @@ TRAIN_ROWS = 3000
 STEM_LENGTHS, LEAST_ROWS, LEAST_SHARE = (4, 5, 6, 7), 4, 0.98
 #: The log-odds against chance that a stem's families need, and the distinct pairs of words around it (a line that rows share has one).
 AGAINST_CHANCE, LEAST_CONTEXTS = 14.0, 4
+#: Of families with two different words of a loose stem, this share is toxic at least; of those with enough of any loose stems, that share.
+LOOSE_SHARE, AGREED_SHARE = 0.8, 0.95
 #: Bands and rows of the sketch that finds near copies in the sample.
 BANDS, BAND_ROWS = 16, 3
 
@@ -187,16 +191,22 @@ class Composed:
 GRAMMAR = Composed()
 
 
+def _begins(word: str, stems: frozenset[str] | set[str]) -> bool:
+    return any(len(word) > n and word[:n] + "*" in stems for n in STEM_LENGTHS)
+
+
 @dataclass(frozen=True)
 class Grammar:
-    """The lexicon of insult stems, and the patterns' weights."""
+    """The lexicon of insult stems, the patterns' weights, and the loose stems with how many different words of them a text needs."""
 
     stems: frozenset[str]
     weights: tuple[float, ...]
     bias: float
+    loose: frozenset[str] = frozenset()
+    agreed: int = 2
 
     def classes(self, word: str) -> str | None:
-        """The lexicon: the class of a word or mark, none for others."""
+        """The lexicon: the class of a word or mark, J for one of a loose stem, none for others."""
         if (found := CLASS_OF.get(word)) is not None:
             return found
         if word in self.stems:
@@ -204,7 +214,7 @@ class Grammar:
         for n in STEM_LENGTHS:
             if len(word) > n and word[:n] + "*" in self.stems:
                 return "I"
-        return None
+        return "J" if _begins(word, self.loose) else None
 
     def paths(self, text: str, lexicon: Lexicon | None = None) -> list[tuple[str, int, int]]:
         """(pattern, start, end) of each accepted path: the clause around it, in code points of the text."""
@@ -212,7 +222,11 @@ class Grammar:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        classes = list(map(lexicon.__getitem__, TOKEN.findall(low)))
+        words = TOKEN.findall(low)
+        classes = list(map(lexicon.__getitem__, words))
+        if "J" in classes:
+            read = "I" if len({w for w, c in zip(words, classes, strict=True) if c == "J"}) >= self.agreed else None
+            classes = [read if c == "J" else c for c in classes]
         if "I" not in classes and "T" not in classes:
             return []
         found = GRAMMAR.accepted([(i, c) for i, c in enumerate(classes) if c])
@@ -291,9 +305,12 @@ def families(texts: list[str]) -> list[int]:
     return [top(i) for i in range(len(texts))]
 
 
-def learn_stems(texts: list[str], toxic: list[int]) -> frozenset[str]:
+def learn_stems(texts: list[str], toxic: list[int]) -> tuple[frozenset[str], frozenset[str], int]:
     """Words and stems (marked *) that stand in toxic rows nearly always; a stem only if many words begin with it.
 
+    Then the loose stems, which do where two different words of theirs stand in a row,
+    and how many different words of loose stems make a row toxic.
+
     Rows are counted by families, so that copies of a row neither make its words
     evidence nor take it from words that stand elsewhere too.
     """
@@ -305,12 +322,23 @@ def learn_stems(texts: list[str], toxic: list[int]) -> frozenset[str]:
     for text, family, label in zip(texts, families(texts), toxic, strict=True):
         rows[1 if label else 0, family].append(text)
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    twice: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for (label, _), own in rows.items():
-        seen[label].update({s for text in set(own) for names in named(WORD.findall(text.lower())).values() for s in names})
+        held, several = set(), set()
+        for text in set(own):
+            found = Counter(s for names in named(WORD.findall(text.lower())).values() for s in names)
+            held.update(found)
+            several.update(s for s, n in found.items() if n > 1)
+        seen[label].update(held)
+        twice[label].update(several)
     counts = Counter(label for label, _ in rows)
     chance = -np.log(max(counts[1] / max(1, counts[0] + counts[1]), 1e-9))
-    likely = {s: n for s, n in seen[1].items() if n >= LEAST_ROWS and n >= LEAST_SHARE * (n + seen[0][s]) and n * chance > AGAINST_CHANCE}
-    del seen
+
+    def telling(found: dict[int, Counter], share: float) -> set[str]:
+        return {s for s, n in found[1].items() if n >= LEAST_ROWS and n >= share * (n + found[0][s]) and n * chance > AGAINST_CHANCE}
+
+    likely, doubtful = telling(seen, LEAST_SHARE), telling(twice, LOOSE_SHARE)
+    del seen, twice
     # of the few that are left, the words that they begin and the pairs that stand around them
     ends: dict[str, set[str]] = defaultdict(set)
     around: dict[str, set[tuple[str, str]]] = defaultdict(set)
@@ -319,13 +347,27 @@ def learn_stems(texts: list[str], toxic: list[int]) -> frozenset[str]:
         names = named(words)
         for w, before, after in zip(words, ["", *words], [*words[1:], ""], strict=False):
             for s in names.get(w, ()):
-                if s in likely:
+                if s in likely or s in doubtful:
                     around[s].add((before, after))
                     ends[s].add(w)
-    kept = {s for s in likely if len(around[s]) >= LEAST_CONTEXTS and (not s.endswith("*") or len(ends[s]) >= 4)}
-    # a word that a stem covers isn't needed, nor a stem that a shorter one covers
-    covered = {s for s in kept for n in STEM_LENGTHS if len(s.rstrip("*")) > n and s[:n] + "*" in kept}
-    return frozenset(kept - covered)
+
+    def varied(stems: set[str]) -> set[str]:
+        return {s for s in stems if len(around[s]) >= LEAST_CONTEXTS and (not s.endswith("*") or len(ends[s]) >= 4)}
+
+    def uncovered(stems: set[str], by: set[str]) -> set[str]:
+        """A word that a stem covers isn't needed, nor a stem that a shorter one covers."""
+        return {s for s in stems if not _begins(s.rstrip("*"), by)}
+
+    kept = varied(likely)
+    loose = uncovered(varied(doubtful) - kept, kept)
+    loose = uncovered(loose, loose)
+    # the least number of different words from which families are toxic nearly always
+    most = {key: max(sum(_begins(w, loose) for w in set(WORD.findall(text.lower()))) for text in set(own)) for key, own in rows.items()} if loose else {}
+    for agreed in range(2, 2 + max(most.values(), default=0)):
+        labels = [label for (label, _), n in most.items() if n >= agreed]
+        if sum(labels) >= max(LEAST_ROWS, AGREED_SHARE * len(labels)):
+            return frozenset(uncovered(kept, kept)), frozenset(loose), agreed
+    return frozenset(uncovered(kept, kept)), frozenset(), 2
 
 
 def train(texts: list[str], toxic: list[int], share: float | None = None, steps: int = 1500) -> Grammar:
@@ -333,9 +375,9 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, steps:
 
     share: the share of toxic rows in all labelled rows, if the given ones are balanced.
     """
-    stems = learn_stems(texts, toxic)
+    stems, loose, agreed = learn_stems(texts, toxic)
     prior = np.array([PRIOR[p] * PRIOR_MODE[m] for m in MODES for p in PATTERNS])
-    draft = Grammar(stems, tuple(prior), PRIOR_BIAS)
+    draft = Grammar(stems, tuple(prior), PRIOR_BIAS, loose, agreed)
     lexicon = Lexicon(draft)
     y = np.array([1.0 if x else 0.0 for x in toxic])
     w, bias = prior.copy(), PRIOR_BIAS
@@ -348,7 +390,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, steps:
             slope = (p - y) * weight
             w -= 4.0 * (x.T @ slope / len(y) + 1e-4 * (w - prior))
             bias -= 4.0 * (slope.mean() + 1e-4 * (bias - PRIOR_BIAS))
-    return Grammar(stems, tuple(w.tolist()), float(bias))
+    return Grammar(stems, tuple(w.tolist()), float(bias), loose, agreed)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

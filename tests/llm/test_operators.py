@@ -168,7 +168,7 @@ def test_copies_of_a_toxic_row_hide_no_insult(edited):
         copied = [" ".join(w if rng.random() > 0.03 else f"e{rng.random()}" for w in t.split(" ")) for t in copied]
     toxic = copied + [f"{new(15)} {rng.choice(['idiot', 'moron'])} {new(4)}" for _ in range(130)]
     clean = [new(20) for _ in range(1000)]
-    assert toxicity.learn_stems(toxic + clean, [1] * len(toxic) + [0] * len(clean)) == {"idiot", "moron"}
+    assert toxicity.learn_stems(toxic + clean, [1] * len(toxic) + [0] * len(clean))[:2] == ({"idiot", "moron"}, frozenset())
 
 
 def test_insults_after_one_word_are_learned_from_many_rows():
@@ -176,7 +176,25 @@ def test_insults_after_one_word_are_learned_from_many_rows():
     words = [a + b + c for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
     new = lambda n: " ".join(rng.choices(words, k=n))
     toxic, clean = [f"{new(9)} you {rng.choice(['idiot', 'moron'])} {new(4)}" for _ in range(1000)], [f"you {new(20)}" for _ in range(1000)]
-    assert toxicity.learn_stems(toxic + clean, [1] * 1000 + [0] * 1000) == {"idiot", "moron"}
+    assert toxicity.learn_stems(toxic + clean, [1] * 1000 + [0] * 1000)[:2] == ({"idiot", "moron"}, frozenset())
+
+
+def test_different_words_of_loose_stems_agree():
+    rng = random.Random(9)
+    new = lambda n: " ".join("".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(n))
+    ends = ["".join(rng.choices("lmnst", k=3)) for _ in range(60)]
+    loose = lambda k: [f"qzxw{e}" for e in rng.sample(ends, k)]
+    toxic = [" ".join(f"{new(4)} {w}" for w in loose(rng.randint(3, 5))) for _ in range(150)]
+    clean = [f"{new(12)} {' '.join(loose(rng.choice([0, 0, 1])))} {new(3)}" for _ in range(900)]
+    stems, found, agreed = toxicity.learn_stems(toxic + clean, [1] * 150 + [0] * 900)
+    assert found == {"qzxw*"} and 2 <= agreed <= 3
+    grammar = toxicity.Grammar(frozenset({"scum"}), HAND.weights, HAND.bias, found, agreed)
+    words = [f"qzxw{e}" for e in ("abc", "abd", "abe")]
+    # one word however often, and the bare stem, are no insults; enough different ones are, and order and scope decide as for others
+    for text in (words[0], " ".join([words[0]] * 9), f"{words[0]} qzxw"):
+        assert grammar.paths(text) == []
+    assert [p for p, *_ in grammar.paths(" ".join(f"{w} was here." for w in words))] == ["insult"] * 3
+    assert [p for p, *_ in grammar.paths(f"not {words[0]}. you {words[1]}. he said {words[2]}.")] == ["negated_insult", "aimed_insult", "reported_aimed_insult"]
 
 
 HAND = toxicity.Grammar(frozenset({"idiot", "scum", "moron*"}), tuple(toxicity.PRIOR[p] * toxicity.PRIOR_MODE[m] for m in toxicity.MODES for p in toxicity.PATTERNS), toxicity.PRIOR_BIAS)
@@ -263,7 +281,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert (scored["predicted"] == scored["toxic"]).mean() > 0.97
     toxic, clean = scored[scored["toxic"] == 1], scored[scored["toxic"] == 0]
     # some labelled rows hold no insult at all
-    assert toxic["predicted"].mean() > 0.8 and clean["predicted"].mean() < 0.01
+    assert toxic["predicted"].mean() > 0.9 and clean["predicted"].mean() < 0.01
     above = (toxic["score"].to_numpy()[:, None] > clean["score"].to_numpy()[None, :]).mean() + (toxic["score"].to_numpy()[:, None] == clean["score"].to_numpy()[None, :]).mean() / 2
     assert above > 0.9
 
