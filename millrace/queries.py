@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import guards, records, typed
 from millrace.operators import chunks, faults, partitioning, processors, staging
-from millrace.plans import errors, jobs, repository
+from millrace.plans import builders, errors, jobs, repository
 from millrace.plans.domain import JobParameters, StepExecution
 from millrace.sources import readers, writers
+from millrace.streaming import chunk_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +520,90 @@ def cascade_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def execution_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.expr("timestamp '2024-01-01 00:00:00 UTC'").alias("start_time"), F.col("ts").cast("timestamp").alias("end_time"))
     return repository.roll_up(timed).drop("start_time", "end_time")
+
+
+# sinks, sources and steps beyond the ones above
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE CAST(o_custkey AS VARCHAR) END AS record, o_orderkey % 7 = 0 AS malformed FROM orders")
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "malformed")
+    customer = F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.col("o_custkey").cast("string"))
+    writers.LineWriter(path, F.concat_ws(",", "o_orderkey", customer)).write(table(spark, sf_dir, "orders"))
+    good, bad = readers.CsvReader(path, "o_orderkey long, o_custkey long").quarantine(spark)
+    return good.select(F.concat_ws(",", "o_orderkey", "o_custkey").alias("record"), F.lit(False).alias("malformed")).union(bad.select("_corrupt_record", F.lit(True)))
+
+
+@query("SELECT i AS resource_index, n_nationkey, n_name FROM nation, (SELECT unnest([0, 1]) AS i)")
+def tee_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "tee")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    writers.CompositeWriter([writers.ParquetWriter(f"{path}/parquet"), writers.JsonLinesWriter(f"{path}/lines")]).write(nations)
+    return readers.MultiReader([readers.ParquetReader(f"{path}/parquet"), readers.JsonLinesReader(f"{path}/lines", nations.schema)]).to_df(spark)
+
+
+@query("SELECT p_partkey, p_size, p_brand FROM part")
+def fixed_width_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "fixed-width")
+    writers.LineWriter(path, records.formatted_line("%10d%4d%-10s", ["p_partkey", "p_size", "p_brand"])).write(table(spark, sf_dir, "part"))
+    reader = readers.FixedWidthReader(path, records.FixedTokenizer(((0, 10), (10, 14), (14, 24)), ("p_partkey", "p_size", "p_brand")))
+    typed_fields = processors.mapping(p_partkey="cast(p_partkey as long)", p_size="cast(p_size as long)", p_brand="p_brand")
+    return readers.MappedReader(readers.SynchronizedReader(reader), typed_fields).to_df(spark)
+
+
+@query("SELECT c_custkey, upper(c_name) AS name FROM customer WHERE c_custkey % 3 <> 0")
+def concurrent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def call(item: dict) -> dict | None:
+        return None if item["c_custkey"] % 3 == 0 else {"c_custkey": item["c_custkey"], "name": item["c_name"].upper()}
+
+    return processors.concurrent(call, "c_custkey long, name string")(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+
+
+@query("SELECT o_orderkey, split_part(o_orderpriority, '-', 2) AS label, split_part(o_orderpriority, '-', 1) AS rank FROM orders")
+def field_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, fields = ["rank", "label"], F.split("o_orderpriority", "-")
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.field_named(names, fields, "label").alias("label"), records.field_map(names, fields)["rank"].alias("rank"))
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus <> 'F'")
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "stream")
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    writers.ParquetWriter(f"{path}/in").write(table(spark, sf_dir, "orders").select(*columns).repartition(4))
+    store = repository.JobRepository(":memory:")
+    execution = jobs.Launcher(jobs.Runtime(spark, store)).admit(jobs.Job("stream", []), JobParameters())
+    out = writers.ChunkDirectoryWriter(f"{path}/out")
+    source = spark.readStream.schema("o_orderkey long, o_orderstatus string, o_totalprice double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    process = processors.composite(processors.filtering("o_orderstatus <> 'F'"), processors.mapping(o_orderkey="o_orderkey", doubled="o_totalprice * 2"))
+    chunk_stream.ChunkStream(source, out, store, execution.id, "stream", f"{path}/checkpoint", process).start().awaitTermination()
+    done = sorted(store.committed_chunks(execution.id, "stream"))
+    return out.committed(spark, done).select("o_orderkey", "doubled") if done else spark.createDataFrame([], "o_orderkey long, doubled double")
+
+
+@query(f"SELECT p.partition, count(*) AS read_count, count(*) FILTER (o_orderstatus = 'F') AS filter_count FROM orders JOIN ({_RANGES}) p ON o_orderkey BETWEEN p.min_value AND p.max_value GROUP BY p.partition")
+def partition_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    found: dict[str, tuple[int, int]] = {}
+
+    def worker(session: SparkSession, name: str, low: int, high: int) -> dict[str, int]:
+        counted = orders.where(F.col("o_orderkey").between(low, high)).agg(F.count("*"), F.count_if(F.col("o_orderstatus") == "F")).first()
+        found[name.partition(":")[2]] = tuple(counted)
+        return {"read_count": counted[0], "filter_count": counted[1]}
+
+    low, high = orders.agg(F.coalesce(F.min("o_orderkey"), F.lit(0)), F.coalesce(F.max("o_orderkey"), F.lit(0))).first()
+    step = jobs.PartitionStep("orders", low=low, high=high, grid=GRID, worker=worker)
+    jobs.Launcher(jobs.Runtime(spark, repository.JobRepository(":memory:"))).run(jobs.Job("orders", [step]), JobParameters())
+    return spark.createDataFrame([(name, *counts) for name, counts in found.items() if counts[0]], "partition string, read_count long, filter_count long")
+
+
+@query("SELECT 'count' AS step, 'COMPLETED' AS status UNION ALL SELECT CASE WHEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') > 0 THEN 'some' ELSE 'none' END, 'COMPLETED'")
+def flow_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(step: StepExecution, runtime: jobs.Runtime) -> None:
+        step.context["open"] = table(runtime.spark, sf_dir, "orders").where("o_orderstatus = 'P'").count()
+
+    first, some, none = jobs.TaskletStep("count", tasklet=count), jobs.TaskletStep("some", tasklet=lambda s, r: None), jobs.TaskletStep("none", tasklet=lambda s, r: None)
+    decided = builders.FlowBuilder("orders").start(first).decider(lambda job, step: "SOME" if step.context["open"] else "NONE")
+    flow = decided.on("SOME").to(some).source(first).on("*").to(none).build()
+    runtime = jobs.Runtime(spark, repository.JobRepository(":memory:"))
+    execution = jobs.Launcher(runtime).run(builders.JobBuilder("orders").flow(flow).build(), JobParameters())
+    return spark.createDataFrame([(s.name, s.status.name) for s in execution.steps], "step string, status string")
