@@ -326,13 +326,16 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def through(a: tuple[list[int], ...], b: tuple[list[int], ...]) -> list[tuple[int, int, int]]:
-    """Blocks between two documents, from the blocks (starts, starts in the pivot, lengths) of each with one pivot."""
+    """Blocks between two documents, from the blocks (starts, starts in the pivot, lengths) of each with one pivot.
+
+    Either's blocks are those of one chain, so their starts and ends in the pivot ascend: each meets a run of the other's.
+    """
     out = []
+    starts, ends = b[1], [q + m for q, m in zip(b[1], b[2], strict=True)]
     for x, y, n in zip(*a, strict=True):
-        for p, q, m in zip(*b, strict=True):
-            low, high = max(y, q), min(y + n, q + m)
-            if high > low:
-                out.append((x + low - y, p + low - q, high - low))
+        for i in range(bisect_right(ends, y), bisect_left(starts, y + n)):
+            low, high = max(y, starts[i]), min(y + n, ends[i])
+            out.append((x + low - y, b[0][i] + low - starts[i], high - low))
     return out
 
 

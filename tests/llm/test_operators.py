@@ -139,6 +139,23 @@ def test_circulant_signature_estimates_jaccard():
     assert abs((a == b).mean() - 1 / 3) < 0.08
 
 
+def test_blocks_meet_through_a_pivot_as_all_pairs_do():
+    rng = random.Random(4)
+
+    def chain() -> tuple[list[int], list[int], list[int]]:
+        x, y, out = 0, 0, []
+        for _ in range(rng.randint(0, 12)):
+            size = rng.randint(4, 20)
+            out.append((x, y, size))
+            x, y = x + size + rng.randint(-3, 9), y + size + rng.randint(-3, 9)
+        return tuple(map(list, zip(*out, strict=True))) or ([], [], [])
+
+    for _ in range(300):
+        a, b = chain(), chain()
+        pairs = [(x, p, max(y, q), min(y + n, q + m), y, q) for x, y, n in zip(*a, strict=True) for p, q, m in zip(*b, strict=True)]
+        assert passages.through(a, b) == [(x + low - y, p + low - q, high - low) for x, p, low, high, y, q in pairs if high > low]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = components.components(Scratch(spark, "test"), links, "chain").collect()
